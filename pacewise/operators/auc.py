@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pacewise.operators.ordering import running_totals
+from pacewise.session import reliable
 
 
 def area_under_roc(scored: DataFrame, score: str = "p", label: str = "isFraud") -> DataFrame:
@@ -17,6 +18,8 @@ def area_under_roc(scored: DataFrame, score: str = "p", label: str = "isFraud")
     counts = scored.groupBy(F.col(score).cast("double").alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"),
         F.count_if(F.col(label) != 1).alias("neg"))
+    # What gives the scores, such as a feature pass, runs once; the counts are read again.
+    counts = reliable(counts)
     placed = running_totals(counts, "score", {"below": F.col("neg")}, include_own=False)
     won = F.sum(F.col("pos").cast("double") * (F.col("below") + F.col("neg") / 2))
     sums = placed.agg(

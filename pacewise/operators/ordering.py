@@ -16,19 +16,31 @@ from pyspark.sql import functions as F
 BUCKET = "__bucket"
 
 
-def range_count(df: DataFrame) -> int:
-    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+# Rows of one range go through one task; more rows make more ranges, not larger ones.
+ROWS_PER_RANGE = 1_000_000
+_FIRST_CUTS, _MOST_CUTS = 1024, 20_000
 
 
 def range_bounds(df: DataFrame, column: str, pieces: int | None = None) -> list[float]:
     """Values that cut ``column`` into about equal parts.
 
-    One aggregation with map-side sketches; the driver gets ``pieces - 1`` numbers.
-    The bounds steer only the balance: any bounds give the same results.
+    One aggregation with map-side sketches, and a finer one for very large tables;
+    the driver gets the cut values only. They steer the balance of the work: any
+    bounds give the same results.
     """
-    pieces = pieces or range_count(df)
-    shares = [i / pieces for i in range(1, pieces)]
-    found = df.agg(F.percentile_approx(F.col(column).cast("double"), shares, 10 * pieces)).first()[0]
+    def cuts(wanted: int):
+        shares = [i / wanted for i in range(1, wanted)]
+        return df.agg(F.count(column), F.percentile_approx(
+            F.col(column).cast("double"), shares, 10 * wanted)).first()
+
+    rows, found = cuts(_FIRST_CUTS)
+    if pieces is None:
+        parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pieces = max(2, parallel, -(-rows // ROWS_PER_RANGE))
+    if pieces > _FIRST_CUTS:
+        found = cuts(min(pieces, _MOST_CUTS))[1]
+    elif found:
+        found = [found[(i * _FIRST_CUTS) // pieces - 1] for i in range(1, pieces)]
     return sorted(set(found or []))
 
 
@@ -43,14 +55,13 @@ def with_range(df: DataFrame, column: str, bounds: Sequence[float]) -> DataFrame
 
 
 def running_totals(df: DataFrame, column: str, totals: Mapping[str, Column],
-                   include_own: bool = True, pieces: int | None = None) -> DataFrame:
+                   include_own: bool = True, bounds: Sequence[float] | None = None) -> DataFrame:
     """Add running sums in rising order of ``column``, whose values must be unique.
 
     Aggregate a column with repeated values by value first; then a value that a
     third of the rows share is one row here.
     """
-    bounds = range_bounds(df, column, pieces)
-    ranged = with_range(df, column, bounds)
+    ranged = with_range(df, column, range_bounds(df, column) if bounds is None else bounds)
     starts = ranged.groupBy(BUCKET).agg(*[F.sum(v).alias(f"__sum_{k}") for k, v in totals.items()])
     # One row per range: at most len(bounds) + 2 rows, windowed and broadcast.
     before = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)

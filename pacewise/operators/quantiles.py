@@ -4,30 +4,45 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pacewise.operators.ordering import running_totals
+from pacewise.operators.ordering import BUCKET, range_bounds, with_range
 
 LATENCY_QUANTILES = {"p50": 0.5, "p99": 0.99, "p999": 0.999}
 
 
 def nearest_rank(df: DataFrame, column: str, quantiles: Mapping[str, float] = LATENCY_QUANTILES) -> DataFrame:
-    """One row with the exact quantiles and ``max``.
+    """One row with the exact quantiles and ``max``; all null where there is no value.
 
-    Rows become counts per value before anything is ordered, and the running count
-    is taken range by range.
+    Counts per range of values tell which range holds each index. Only those ranges,
+    one per quantile at most, are then counted by value and put in order.
     """
-    counts = (df.where(F.col(column).isNotNull()).groupBy(column)
-              .agg(F.count(F.lit(1)).alias("n")))
-    summed = running_totals(counts, column, {"upto": F.col("n")})
-    size = counts.agg(F.sum("n")).scalar()
-    picks = []
-    for name, q in quantiles.items():
-        # The smallest value whose running count passes the index.
-        index = F.least(size - 1, F.floor(F.lit(float(q)) * size))
-        picks.append(F.min(F.when(F.col("upto") > index, F.col(column))).alias(name))
-    return summed.agg(*picks, F.max(column).alias("max"))
+    ranged = with_range(df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")),
+                        "value", range_bounds(df, column))
+    sizes = ranged.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))
+    # One row per range.
+    upto = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, 0)
+    everything = Window.partitionBy()
+    placed = sizes.withColumns({
+        "start": F.sum("n").over(upto) - F.col("n"), "size": F.sum("n").over(everything),
+        "largest": F.max("top").over(everything)})
+    wanted = F.array(*[F.struct(
+        F.lit(name).alias("name"),
+        F.least(F.col("size") - 1, F.floor(F.lit(float(q)) * F.col("size"))).alias("index"))
+        for name, q in quantiles.items()])
+    targets = (placed.withColumn("target", F.explode(wanted))
+               .where((F.col("target.index") >= F.col("start"))
+                      & (F.col("target.index") < F.col("start") + F.col("n")))
+               .select(BUCKET, "target.name", (F.col("target.index") - F.col("start")).alias("offset"),
+                       "largest"))
+    holding = ranged.join(F.broadcast(targets.select(BUCKET).distinct()), BUCKET, "left_semi")
+    counts = holding.groupBy(BUCKET, "value").agg(F.count(F.lit(1)).alias("n"))
+    inside = Window.partitionBy(BUCKET).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    passed = (counts.withColumn("seen", F.sum("n").over(inside))
+              .join(F.broadcast(targets), BUCKET).where(F.col("seen") > F.col("offset")))
+    return passed.agg(*[F.min(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in quantiles],
+                      F.max("largest").alias("max"))
 
 
 def approximate(df: DataFrame, column: str, quantiles: Mapping[str, float] = LATENCY_QUANTILES,

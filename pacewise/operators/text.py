@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pacewise.functions.vectors import normalize
 from pacewise.operators.joins import join_dimension
 from pacewise.schema import text_or_empty
 
@@ -20,6 +22,9 @@ DIMENSIONS = 64
 TRIPLE_FACTORS = (961, 31, 1)
 TRIPLE_MODULUS = 65_521
 
+# Texts that are laid end to end for one numpy pass.
+TEXTS_AT_ONCE = 256
+
 # An embedder takes a DataFrame (text_key, text) of different texts and returns
 # (text_key, embedding).
 Embedder = Callable[[DataFrame], DataFrame]
@@ -40,33 +45,34 @@ def different_texts(df: DataFrame, column: str) -> DataFrame:
 def hashed_trigrams(dimensions: int = DIMENSIONS) -> Embedder:
     """Unit vectors of hashed character triples of the whole lower-cased text.
 
-    Everything is built in: triples are counted per (text, bucket) with map-side
-    partials, so a long text leaves a task as at most ``dimensions`` rows.
+    A text becomes its vector in the task that holds it: numpy over Arrow batches,
+    no rows per triple and no shuffle. A text without triples has the zero vector.
     """
-    first, second, third = TRIPLE_FACTORS
-
-    def embed(texts: DataFrame) -> DataFrame:
-        padded = F.concat(F.lit(" "), F.lower("text"), F.lit(" "))
-        points = F.transform(F.regexp_extract_all(padded, F.lit("(?s)."), F.lit(0)), F.ascii)
-        coded = texts.select(TEXT_KEY, points.alias("c")).where(F.size("c") >= 3)
-
-        def bucket(i: Column) -> Column:
-            mixed = F.get("c", i) * first + F.get("c", i + 1) * second + F.get("c", i + 2) * third
-            return (mixed % TRIPLE_MODULUS) % dimensions
-
-        triples = coded.select(TEXT_KEY, F.explode(F.transform(
-            F.sequence(F.lit(0), F.size("c") - 3), bucket)).alias("dim"))
-        counts = triples.groupBy(TEXT_KEY, "dim").agg(F.count(F.lit(1)).alias("n"))
-        packed = counts.groupBy(TEXT_KEY).agg(
-            F.map_from_entries(F.collect_list(F.struct("dim", "n"))).alias("by_dim"))
-        dense = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.coalesce(
-            F.try_element_at("by_dim", d), F.lit(0)).cast("double"))
-        zero = F.array_repeat(F.lit(0.0), dimensions)
-        # A text without triples has the zero vector.
-        return (texts.select(TEXT_KEY).join(packed.select(TEXT_KEY, dense.alias("v")), TEXT_KEY, "left")
-                .select(TEXT_KEY, normalize(F.coalesce("v", zero)).alias("embedding")))
-
-    return embed
+    @F.arrow_udf("array<double>")
+    def embed(texts: pa.Array) -> pa.Array:
+        parts = [_trigram_counts(texts.slice(i, TEXTS_AT_ONCE), dimensions)
+                 for i in range(0, len(texts), TEXTS_AT_ONCE)]
+        counts = np.concatenate(parts) if parts else np.zeros((0, dimensions))
+        norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        unit = np.divide(counts, norms, out=counts, where=norms > 0)
+        return pa.FixedSizeListArray.from_arrays(unit.ravel(), dimensions).cast(pa.list_(pa.float64()))
+
+    return from_udf(embed)
+
+
+def _trigram_counts(texts: pa.Array, dimensions: int) -> np.ndarray:
+    """Triples per (text, bucket), with a space before and after each text."""
+    lowered = [f" {t} " for t in pc.utf8_lower(texts).to_pylist()]
+    points = np.frombuffer("".join(lowered).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    owner = np.repeat(np.arange(len(lowered)), [len(t) for t in lowered])
+    if len(points) < 3:
+        return np.zeros((len(lowered), dimensions))
+    mixed = sum(points[i:len(points) - 2 + i] * f for i, f in enumerate(TRIPLE_FACTORS))
+    bucket = (mixed % TRIPLE_MODULUS) % dimensions
+    within = owner[:-2] == owner[2:]
+    cells = owner[:-2][within] * dimensions + bucket[within]
+    counted = np.bincount(cells, minlength=len(lowered) * dimensions)
+    return counted.reshape(len(lowered), dimensions).astype(np.float64)
 
 
 def from_udf(function) -> Embedder:

@@ -11,10 +11,10 @@ same expressions run over both, so a batch and a stream cannot drift apart.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Sequence
 
-from pacewise.functions.money import from_minor_units, minor_units
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 WINDOW_STEPS = 24
 
@@ -26,20 +26,21 @@ HOT_ROWS = 1_000_000
 
 HISTORY_SCHEMA = "account long, step int, n long, units long, peak double"
 
-_PARTIAL = ("n", "units", "peak")
+# One row in this many is looked at to find such accounts.
+_SIZE_SHARE = 64
+
+PARTIAL = ("n", "units", "peak")
 
 
 def step_partials(rows: DataFrame, decimals: int = 2) -> DataFrame:
     """Mergeable partials per (account, step): what later rows need of these rows."""
-    return (rows.groupBy("account", "step")
-            .agg(F.count(F.lit(1)).alias("n"),
-                 F.sum(minor_units(F.col("amount"), decimals)).alias("units"),
-                 F.max("amount").alias("peak")))
+    return rows.groupBy("account", "step").agg(
+        F.expr("count(1) AS n"), F.expr(f"sum({_units(decimals)}) AS units"), F.expr("max(amount) AS peak"))
 
 
 def merge_partials(partials: DataFrame) -> DataFrame:
-    return (partials.groupBy("account", "step")
-            .agg(F.sum("n").alias("n"), F.sum("units").alias("units"), F.max("peak").alias("peak")))
+    return partials.groupBy("account", "step").agg(
+        F.expr("sum(n) AS n"), F.expr("sum(units) AS units"), F.expr("max(peak) AS peak"))
 
 
 def features(rows: DataFrame, window: int = WINDOW_STEPS, history: DataFrame | None = None,
@@ -55,40 +56,39 @@ def features(rows: DataFrame, window: int = WINDOW_STEPS, history: DataFrame | N
     """
     if window < 1:
         raise ValueError("the window needs at least one step")
-    kept = rows.columns
-    weighted = rows.withColumns({
-        "n": F.lit(1).cast("long"),
-        "units": minor_units(F.col("amount"), decimals),
-        "peak": F.col("amount").cast("double"),
-        "live": F.lit(True),
-    })
-    if history is not None:
-        past = history.select("account", "step", *_PARTIAL).withColumn("live", F.lit(False))
-        weighted = weighted.unionByName(past, allowMissingColumns=True)
+    kept = _quoted(rows.columns)
+    if history is None:
+        # A row's partial is an expression over it, so nothing extra is shuffled.
+        weights, source = ("1L", _units(decimals), "CAST(amount AS DOUBLE)"), rows
+    else:
+        weights = PARTIAL
+        source = rows.selectExpr(
+            "*", "1L AS n", f"{_units(decimals)} AS units", "CAST(amount AS DOUBLE) AS peak", "true AS live",
+        ).unionByName(history.selectExpr("account", "step", *PARTIAL, "false AS live"),
+                      allowMissingColumns=True)
+        kept.append("live")
 
     if hot_rows is None:
-        totals = _keyed_totals(weighted, window)
+        totals = _keyed_totals(source, kept, weights, window)
     else:
-        hot = _hot_accounts(weighted, hot_rows)
-        cold_rows = weighted.join(F.broadcast(hot), "account", "left_anti")
-        hot_side = weighted.join(F.broadcast(hot), "account")
-        totals = _keyed_totals(cold_rows, window).unionByName(_split_totals(hot_side, window))
+        # Both sides use the same broadcast: accounts to cut, with how to cut them.
+        marked = source.join(F.broadcast(_hot_accounts(source, hot_rows)), "account", "left")
+        totals = _keyed_totals(marked.where("cut IS NULL"), kept, weights, window).union(
+            _split_totals(marked.where("cut IS NOT NULL"), kept, weights, window))
 
     live = totals if history is None else totals.where("live")
-    return live.select(*kept, *feature_columns(decimals))
+    return live.select(*rows.columns, *feature_columns(decimals))
 
 
 def feature_columns(decimals: int = 2) -> list[Column]:
     """The features from the window totals ``w_n, w_units, w_peak`` and ``amount``."""
-    n, total = F.col("w_n"), from_minor_units(F.col("w_units"), decimals)
-    mean = F.when(n > 0, total / n).otherwise(F.lit(0.0))
-    return [
-        n.alias("velocity_count"),
-        total.alias("window_sum"),
-        mean.alias("window_mean"),
-        F.coalesce(F.col("w_peak"), F.lit(0.0)).alias("window_max"),
-        F.when(mean <= 0, F.lit(1.0)).otherwise(F.col("amount") / mean).alias("amount_over_mean"),
-    ]
+    total = f"(CAST(w_units AS DOUBLE) / {10 ** decimals}D)"
+    mean = f"CASE WHEN w_n > 0 THEN {total} / w_n ELSE 0D END"
+    # A mean of zero or less, and so an empty window, gives the ratio 1.
+    ratio = f"CASE WHEN w_n > 0 AND w_units > 0 THEN amount / ({total} / w_n) ELSE 1D END"
+    return [F.expr(f"w_n AS {FEATURES[0]}"), F.expr(f"{total} AS {FEATURES[1]}"),
+            F.expr(f"{mean} AS {FEATURES[2]}"), F.expr(f"coalesce(w_peak, 0D) AS {FEATURES[3]}"),
+            F.expr(f"{ratio} AS {FEATURES[4]}")]
 
 
 def feature_vector(names: tuple[str, ...] = FEATURES) -> Column:
@@ -99,64 +99,62 @@ def in_arrival_order(featured: DataFrame) -> DataFrame:
     return featured.orderBy("seq")
 
 
-def _over(frame) -> dict[str, Column]:
-    return {
-        "n": F.sum("n").over(frame),
-        "units": F.sum("units").over(frame),
-        "peak": F.max("peak").over(frame),
-    }
+def _units(decimals: int) -> str:
+    """The amount in whole minor units."""
+    return f"CAST(rint(amount * {10 ** decimals}D) AS BIGINT)"
 
 
-def _add(*sources: dict[str, Column]) -> dict[str, Column]:
-    zero = F.lit(0).cast("long")
+def _over(name: str, weights: Sequence[str], frame: str) -> list[str]:
+    """The three window aggregates over one frame, as ``<name>_n`` and so on."""
+    n, units, peak = weights
+    return [f"sum({n}) OVER ({frame}) AS {name}_n", f"sum({units}) OVER ({frame}) AS {name}_units",
+            f"max({peak}) OVER ({frame}) AS {name}_peak"]
 
-    def plus(name):
-        first, *rest = [F.coalesce(s[name], zero) for s in sources]
-        for other in rest:
-            first = first + other
-        return first
 
-    # greatest() skips nulls, so it is null only where every source is empty.
-    return {"w_n": plus("n"), "w_units": plus("units"),
-            "w_peak": F.greatest(*[s["peak"] for s in sources])}
+def _added(*names: str) -> list[str]:
+    """Totals over disjoint frames; greatest() skips empty ones."""
+    def plus(part):
+        return " + ".join(f"coalesce({n}_{part}, 0L)" for n in names)
+    peaks = ", ".join(f"{n}_peak" for n in names)
+    return [f"{plus('n')} AS w_n", f"{plus('units')} AS w_units", f"greatest({peaks}) AS w_peak"]
 
 
-def _named(prefix: str, columns: dict[str, Column]) -> dict[str, Column]:
-    return {f"{prefix}_{k}": v for k, v in columns.items()}
+def _quoted(columns: list[str]) -> list[str]:
+    return [f"`{c}`" for c in columns]
 
 
-def _taken(prefix: str) -> dict[str, Column]:
-    return {k: F.col(f"{prefix}_{k}") for k in _PARTIAL}
+_BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
 
-def _keyed_totals(weighted: DataFrame, window: int) -> DataFrame:
+def _keyed_totals(source: DataFrame, kept: list[str], weights: Sequence[str], window: int) -> DataFrame:
     """Two disjoint frames per account: earlier steps, and earlier rows of the same step."""
-    same = (Window.partitionBy("account", "step").orderBy("seq")
-            .rowsBetween(Window.unboundedPreceding, -1))
-    past = Window.partitionBy("account").orderBy("step").rangeBetween(-window, -1)
     # Rows placed by account and sorted once by (account, step, seq) satisfy both
     # windows, whichever of them Catalyst puts first.
-    placed = weighted.repartition("account").sortWithinPartitions("account", "step", "seq")
-    placed = placed.withColumns(_named("same", _over(same)))
-    placed = placed.withColumns(_named("past", _over(past)))
-    return (placed.withColumns(_add(_taken("same"), _taken("past")))
-            .drop(*_named("same", dict.fromkeys(_PARTIAL)), *_named("past", dict.fromkeys(_PARTIAL))))
+    placed = source.drop("cut").repartition("account").sortWithinPartitions("account", "step", "seq")
+    framed = placed.selectExpr(
+        "*", *_over("same", weights, f"PARTITION BY account, step ORDER BY seq {_BEFORE}"),
+        *_over("past", weights, "PARTITION BY account ORDER BY step "
+                                f"RANGE BETWEEN {window} PRECEDING AND 1 PRECEDING"))
+    return framed.selectExpr(*kept, *_added("same", "past"))
 
 
-def _hot_accounts(weighted: DataFrame, hot_rows: int) -> DataFrame:
-    """Accounts with at least ``hot_rows`` rows, and how to cut each along ``seq``.
+def _hot_accounts(source: DataFrame, hot_rows: int) -> DataFrame:
+    """``(account, cut)`` for accounts of about ``hot_rows`` rows or more.
 
-    At most (all rows / hot_rows) accounts qualify, which bounds the broadcast.
+    Sizes are estimated from the rows whose hashed ``seq`` falls in one of 64 classes,
+    which is the same choice however often it is made. Which accounts are found steers
+    the work and not the result. At most (all rows / hot_rows) accounts qualify, which
+    bounds the broadcast. ``cut`` is where to start and how wide a piece of ``seq`` is.
     """
-    sized = (weighted.groupBy("account")
-             .agg(F.count(F.lit(1)).alias("size"), F.min("seq").alias("lo"), F.max("seq").alias("hi"))
-             .where(F.col("size") >= hot_rows))
-    pieces = F.ceil(F.col("size") / hot_rows)
-    width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / pieces))
-    return sized.select("account", "lo", F.coalesce(width, F.lit(1)).cast("long").alias("width"))
+    share = min(_SIZE_SHARE, max(1, hot_rows // 64))
+    sized = (source.where(f"pmod(xxhash64(seq), {share}L) = 0").groupBy("account").agg(
+        F.expr(f"count(1) * {share}L AS size"), F.expr("min(seq) AS lo"), F.expr("max(seq) AS hi")))
+    width = f"greatest(1L, ceil((hi - lo + 1) / ceil(size / {hot_rows})))"
+    return sized.where(f"size >= {hot_rows}").selectExpr(
+        "account", f"struct(lo, CAST({width} AS BIGINT) AS width) AS cut")
 
 
-def _split_totals(hot_side: DataFrame, window: int) -> DataFrame:
+def _split_totals(source: DataFrame, kept: list[str], weights: Sequence[str], window: int) -> DataFrame:
     """Window totals where an account is too large for one task.
 
     Rows are grouped by (account, step, piece of ``seq``). A row needs the earlier
@@ -164,27 +162,18 @@ def _split_totals(hot_side: DataFrame, window: int) -> DataFrame:
     The last two come from partials, which hold one row per group or step.
     """
     # History has no seq and precedes every piece.
-    piece = F.coalesce(F.floor((F.col("seq") - F.col("lo")) / F.col("width")), F.lit(-1))
-    pieced = hot_side.withColumn("piece", piece.cast("long")).drop("lo", "width")
-
-    cells = (pieced.groupBy("account", "step", "piece")
-             .agg(F.sum("n").alias("n"), F.sum("units").alias("units"), F.max("peak").alias("peak")))
-    earlier = (Window.partitionBy("account", "step").orderBy("piece")
-               .rowsBetween(Window.unboundedPreceding, -1))
-    context = cells.select("account", "step", "piece", *_aliased(_named("cell", _over(earlier))))
+    pieced = source.selectExpr(
+        "*", "coalesce(greatest(0L, floor((seq - cut.lo) / cut.width)), -1L) AS piece")
+    n, units, peak = weights
+    cells = pieced.groupBy("account", "step", "piece").agg(
+        F.expr(f"sum({n}) AS n"), F.expr(f"sum({units}) AS units"), F.expr(f"max({peak}) AS peak"))
+    context = cells.selectExpr("account", "step", "piece", *_over(
+        "cell", PARTIAL, f"PARTITION BY account, step ORDER BY piece {_BEFORE}"))
     context = context.join(_past_steps(merge_partials(cells), window), ["account", "step"])
-
-    inside = (Window.partitionBy("account", "step", "piece").orderBy("seq")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    placed = pieced.withColumns(_named("same", _over(inside)))
+    placed = pieced.selectExpr(*kept, "piece", *_over(
+        "same", weights, f"PARTITION BY account, step, piece ORDER BY seq {_BEFORE}"))
     joined = placed.join(context, ["account", "step", "piece"])
-    totals = joined.withColumns(_add(_taken("same"), _taken("cell"), _taken("past")))
-    return totals.drop("piece", *[c for p in ("same", "cell", "past")
-                                  for c in _named(p, dict.fromkeys(_PARTIAL))])
-
-
-def _aliased(columns: dict[str, Column]) -> list[Column]:
-    return [v.alias(k) for k, v in columns.items()]
+    return joined.selectExpr(*kept, *_added("same", "cell", "past"))
 
 
 def _past_steps(steps: DataFrame, window: int, spans: int = 8) -> DataFrame:
@@ -195,11 +184,10 @@ def _past_steps(steps: DataFrame, window: int, spans: int = 8) -> DataFrame:
     next block, as context only.
     """
     length = window * spans
-    own = F.floor(F.col("step") / length)
-    tail = F.pmod(F.col("step"), F.lit(length)) >= length - window
-    blocks = F.when(tail, F.array(own, own + 1)).otherwise(F.array(own))
-    spread = steps.withColumn("block", F.explode(blocks))
-    past = Window.partitionBy("account", "block").orderBy("step").rangeBetween(-window, -1)
-    return (spread.withColumns(_named("past", _over(past)))
-            .where(F.col("block") == own)
-            .select("account", "step", *[f"past_{c}" for c in _PARTIAL]))
+    own = f"floor(step / {length})"
+    spread = steps.selectExpr("*", f"""explode(CASE WHEN pmod(step, {length}) >= {length - window}
+        THEN array({own}, {own} + 1) ELSE array({own}) END) AS block""")
+    framed = spread.selectExpr("*", *_over(
+        "past", PARTIAL, f"PARTITION BY account, block ORDER BY step RANGE BETWEEN {window} PRECEDING AND 1 PRECEDING"))
+    return framed.where(f"block = {own}").selectExpr(
+        "account", "step", *[f"past_{c}" for c in PARTIAL])

@@ -40,7 +40,6 @@ class LiveFeatures:
         self.output = BatchLog(spark, f"{root}/features", FEATURE_SCHEMA + scored)
         self.history = BatchLog(spark, f"{root}/history", HISTORY_SCHEMA)
         self.late = BatchLog(spark, f"{root}/late", ROW_SCHEMA)
-        self.marks = BatchLog(spark, f"{root}/marks", "high int, rows long, late long")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         batch = batch.select(*SEQUENCED.names).persist()
@@ -50,45 +49,40 @@ class LiveFeatures:
             batch.unpersist()
 
     def _run(self, batch: DataFrame, batch_id: int) -> None:
-        seen = self.marks.read(batch_id).agg(F.max("high")).first()[0]
-        oldest = None if seen is None else seen - self.lateness
+        highs = self._held(batch_id)
+        oldest = max(highs.values()) - self.lateness if highs else None
         is_late = F.lit(False) if oldest is None else F.col("step") < oldest
-        span = batch.agg(
-            F.count(F.lit(1)).alias("rows"), F.coalesce(F.count_if(is_late), F.lit(0)).alias("late"),
-            F.min(F.when(~is_late, F.col("step"))).alias("low"), F.max("step").alias("high")).first()
-
-        self.late.write(batch_id, batch.where(is_late))
-        on_time = batch.where(~is_late)
-        self.output.write(batch_id, self._featured(on_time, batch_id, span.low))
-        self.history.write(batch_id, step_partials(on_time))
-        mark = batch.sparkSession.createDataFrame(
-            [(span.high, span.rows, span.late)], self.marks.schema)
-        self.marks.write(batch_id, mark.coalesce(1))
-        if oldest is not None:
-            self._evict(batch_id, oldest)
-
-    def _featured(self, rows: DataFrame, batch_id: int, low: int | None) -> DataFrame:
-        past = self.history.read(batch_id)
+        late, low = batch.agg(F.count_if(is_late), F.min(F.when(~is_late, F.col("step")))).first()
+        on_time = batch
+        if late:
+            self.late.write(batch_id, batch.where(is_late))
+            on_time = batch.where(~is_late)
         if low is not None:
-            past = past.where(F.col("step") >= low - self.window)
-        # Only accounts of this batch need their past.
-        past = merge_partials(past.join(rows.select("account").distinct(), "account", "left_semi"))
+            self.output.write(batch_id, self._featured(on_time, batch_id, low, bool(highs)))
+            self.history.write(batch_id, step_partials(on_time))
+        if oldest is not None:
+            # No row from this batch on can reach further back. The bound uses only what
+            # earlier batches saw, so this batch can still run again.
+            for held, high in highs.items():
+                if high < oldest - self.window:
+                    self.history.drop(held)
+
+    def _held(self, batch_id: int) -> dict[int, int]:
+        """Largest step of each earlier batch whose partials are still held."""
+        highs = self.history.read(batch_id).groupBy(BATCH).agg(F.max("step").alias("high"))
+        return {row[BATCH]: row.high for row in highs.collect()}
+
+    def _featured(self, rows: DataFrame, batch_id: int, low: int, has_past: bool) -> DataFrame:
+        past = None
+        if has_past:
+            reach = self.history.read(batch_id).where(F.col("step") >= low - self.window)
+            # Only accounts of this batch need their past.
+            past = merge_partials(reach.join(rows.select("account").distinct(), "account", "left_semi"))
         out = features(rows, self.window, past, hot_rows=self.hot_rows)
         if self.model is not None:
             out = self.model.score(out).withColumn("flagged", flag(F.col("p"), self.threshold))
         return out
 
-    def _evict(self, batch_id: int, oldest: int) -> None:
-        """Drop partials that no row from this batch on can reach.
-
-        The bound uses only what earlier batches saw, so this batch can still run
-        again. The list has one number per batch still held.
-        """
-        past = (self.history.read(batch_id).groupBy(BATCH).agg(F.max("step").alias("high"))
-                .where(F.col("high") < oldest - self.window))
-        for row in past.select(BATCH).collect():
-            self.history.drop(row[0])
-
     def start(self, stream: DataFrame, checkpoint: str, trigger: dict | None = None):
         """Start the query; the default trigger takes all that is there and ends."""
         return (stream.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint)
