@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -38,13 +39,15 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     The folder named in ``spark.checkpoint.dir`` is visible to every executor.
     Only where it is unset, as in local tests, a temporary folder stands in.
     """
-    root = spark.conf.get(CHECKPOINT_DIR, None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="pacewise-")
-        spark.conf.set(CHECKPOINT_DIR, root)
+    root = spark.conf.get(CHECKPOINT_DIR, None) or _stand_in(spark.sparkContext.applicationId)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
+@cache
+def _stand_in(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"pacewise-{application}-")
+
+
 def reliable(df):
     """Cut the lineage of ``df`` with a checkpoint in the shared folder."""
     spark = df.sparkSession
