@@ -10,10 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pacewise.operators.velocity import WINDOW_STEPS, features
+from pacewise.session import reliable
+
 SAMPLE_CAP = 300_000
 SEED = 7
 SAMPLE_KEY = "sample_key"
 
+# Drawn keys of 8 bytes that may be broadcast.
+BROADCAST_KEYS = 2_000_000
+
 _PREFIX_HEX = 4
 _PREFIXES = 16 ** _PREFIX_HEX
 
@@ -39,6 +45,23 @@ def bottom_k(df: DataFrame, k: int = SAMPLE_CAP, seed: int = SEED, seq: str = "s
     return keyed.where(prefix <= cutoff).orderBy(SAMPLE_KEY, seq).limit(k)
 
 
+def sampled_features(rows: DataFrame, k: int = SAMPLE_CAP, seed: int = SEED,
+                     window: int = WINDOW_STEPS) -> DataFrame:
+    """The sample of the feature table, without computing the whole feature table.
+
+    A row is drawn by its ``seq`` alone, so rows are drawn first; features then need
+    only the accounts of the drawn rows. The drawn keys are at most k pairs of numbers.
+    """
+    drawn = reliable(bottom_k(rows.select("account", "seq"), k, seed).select("account", "seq"))
+    small = k <= BROADCAST_KEYS
+
+    def keep(df: DataFrame, key: str) -> DataFrame:
+        keys = drawn.select(key).distinct()
+        return df.join(F.broadcast(keys) if small else keys, key, "left_semi")
+
+    return keep(features(keep(rows, "account"), window), "seq")
+
+
 def merge_samples(older: DataFrame, newer: DataFrame, k: int = SAMPLE_CAP, seq: str = "seq") -> DataFrame:
     """The sample of everything seen, from two samples of at most k rows each."""
     return older.unionByName(newer).orderBy(SAMPLE_KEY, seq).limit(k)

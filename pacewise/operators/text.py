@@ -25,8 +25,8 @@ TRIPLE_MODULUS = 65_521
 # Texts that are laid end to end for one numpy pass.
 TEXTS_AT_ONCE = 256
 
-# An embedder takes a DataFrame (text_key, text) of different texts and returns
-# (text_key, embedding).
+# An embedder takes a DataFrame (text_key, text) of different texts and adds
+# an ``embedding`` column to it.
 Embedder = Callable[[DataFrame], DataFrame]
 
 
@@ -37,9 +37,8 @@ def text_key(text: Column) -> Column:
 
 def different_texts(df: DataFrame, column: str) -> DataFrame:
     """``(text_key, text)`` with one row per different text, null read as empty."""
-    text = text_or_empty(F.col(column))
-    return (df.groupBy(text_key(F.col(column)).alias(TEXT_KEY))
-            .agg(F.first(text).alias("text")))
+    texts = df.select(text_or_empty(F.col(column)).alias("text")).distinct()
+    return texts.select(text_key(F.col("text")).alias(TEXT_KEY), "text")
 
 
 def hashed_trigrams(dimensions: int = DIMENSIONS) -> Embedder:
@@ -77,14 +76,12 @@ def _trigram_counts(texts: pa.Array, dimensions: int) -> np.ndarray:
 
 def from_udf(function) -> Embedder:
     """An embedder from a pandas or arrow UDF that maps a text column to vectors."""
-    return lambda texts: texts.select(TEXT_KEY, function(F.col("text")).alias("embedding"))
+    return lambda texts: texts.withColumn("embedding", function(F.col("text")))
 
 
 def embed_different(df: DataFrame, column: str, embedder: Embedder | None = None) -> DataFrame:
     """``(text_key, text, embedding)``: the embedder sees each different text once."""
-    texts = different_texts(df, column)
-    vectors = (embedder or hashed_trigrams())(texts)
-    return texts.join(vectors, TEXT_KEY)
+    return (embedder or hashed_trigrams())(different_texts(df, column))
 
 
 def pooled(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:

@@ -8,7 +8,6 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,11 +88,11 @@ def fit(sample: DataFrame, names: Sequence[str] = FEATURES, label: str = "isFrau
     Every epoch is one pass over the standardized sample, which stays cached. Tasks
     return one partial gradient each; the plan is the same in every epoch.
     """
-    scale = fit_standardizer(sample, names)
-    staged = sample.select(F.array(*scale.columns()).alias("z"), F.col(label).cast("double").alias("y"))
-    staged = staged.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = sample.select(*names, F.col(label).cast("double").alias("y")).persist()
     try:
-        rows = staged.count()
+        scale = fit_standardizer(kept, names)
+        rows = kept.count()
+        staged = kept.select(F.array(*scale.columns()).alias("z"), "y")
         weights, bias = np.zeros(len(names)), 0.0
         for _ in range(epochs):
             partial = staged.mapInArrow(_gradient(weights, bias), "g array<double>")
@@ -101,7 +100,7 @@ def fit(sample: DataFrame, names: Sequence[str] = FEATURES, label: str = "isFrau
             weights = weights - lr * gradient[:-1]
             bias = bias - lr * gradient[-1]
     finally:
-        staged.unpersist()
+        kept.unpersist()
     return LogisticModel(scale.names, scale.mean, scale.std,
                          tuple(float(w) for w in weights), float(bias))
 
@@ -121,11 +120,15 @@ def _gradient(weights: np.ndarray, bias: float):
 def fit_converged(sample: DataFrame, names: Sequence[str] = FEATURES, label: str = "isFraud",
                   max_iter: int = 100) -> LogisticModel:
     """The maximum-likelihood weights, by Spark's own solver on standardized features."""
-    scale = fit_standardizer(sample, names)
-    z = [f"z_{n}" for n in names]
-    staged = scale.apply(sample.select(*names, F.col(label).cast("double").alias("label"))).select(*z, "label")
-    vectors = VectorAssembler(inputCols=z, outputCol="features").transform(staged)
-    solved = LogisticRegression(regParam=0.0, standardization=False, maxIter=max_iter).fit(vectors)
+    rows = sample.select(*names, F.col(label).cast("double").alias("label")).persist()
+    try:
+        scale = fit_standardizer(rows, names)
+        z = [f"z_{n}" for n in names]
+        vectors = VectorAssembler(inputCols=z, outputCol="features").transform(
+            scale.apply(rows).select(*z, "label"))
+        solved = LogisticRegression(regParam=0.0, standardization=False, maxIter=max_iter).fit(vectors)
+    finally:
+        rows.unpersist()
     return LogisticModel(scale.names, scale.mean, scale.std,
                          tuple(float(w) for w in solved.coefficients), float(solved.intercept))
 

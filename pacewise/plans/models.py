@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from pacewise.operators.aggregates import scored_summary
 from pacewise.operators.auc import area_under_roc
-from pacewise.operators.sampling import bottom_k
+from pacewise.operators.sampling import bottom_k, sampled_features
 from pacewise.operators.text import embed_different, fuse
 from pacewise.operators.search import top1
 from pacewise.operators.training import (LogisticModel, Standardizer, auc_lift, fit, fit_converged,
                                          in_sample_auc, standardizer_table)
 from pacewise.operators.velocity import FEATURES, features
 from pacewise.plans.registry import TXN, event_rows, features_sql, query, table
+from pacewise.session import reliable
 
 # A model with given numbers, so that scoring can be checked by itself.
 FIXED = LogisticModel(
@@ -134,7 +135,7 @@ _WEIGHTS = [f"w{i}" for i in range(len(FEATURES))] + ["b"]
 @query("fit_gradient_descent", f"WITH {features_sql()}, {gradient_sql()} SELECT "
        + ", ".join(f"round({w}, 6) AS {w}" for w in _WEIGHTS) + f" FROM w{GD_EPOCHS}")
 def fit_gradient_descent(spark: SparkSession, sf: str) -> DataFrame:
-    model = fit(features(bottom_k(event_rows(spark, sf)).drop("sample_key")), epochs=GD_EPOCHS, lr=GD_RATE)
+    model = fit(sampled_features(event_rows(spark, sf)), epochs=GD_EPOCHS, lr=GD_RATE)
     values = [*model.weights, model.bias]
     return spark.range(1).select(*[F.round(F.lit(v), 6).alias(n) for n, v in zip(_WEIGHTS, values)])
 
@@ -147,13 +148,21 @@ def fit_to_convergence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _training_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return bottom_k(features(event_rows(spark, sf)))
+    """The training sample, kept: a fit and its report read it several times."""
+    return reliable(sampled_features(event_rows(spark, sf)))
+
+
+@query("sampled_features", f"""WITH {features_sql()} SELECT seq, velocity_count, window_sum, window_max
+FROM feat ORDER BY md5('7:' || seq), seq LIMIT 800""")
+def sampled_feature_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return sampled_features(event_rows(spark, sf), 800).select(
+        "seq", "velocity_count", "window_sum", "window_max")
 
 
 @query("backfill_train_auc")
 def backfill_train_auc(spark: SparkSession, sf: str) -> DataFrame:
     """Features, sample, fit, score and AUC over the history."""
-    sample = _training_rows(spark, sf).persist()
+    sample = _training_rows(spark, sf)
     return in_sample_auc(fit_converged(sample), sample)
 
 
@@ -165,5 +174,5 @@ def auc_lift_of_text(spark: SparkSession, sf: str) -> DataFrame:
     references = types.select(F.col("text").alias("id"), F.col("embedding").alias("vector"),
                               F.xxhash64("text").alias("ord"))
     scores = top1(vectors, references, "text_key").select("text_key", F.col("best_score").alias("score"))
-    sample = fuse(_training_rows(spark, sf), "merchant", scores).persist()
+    sample = reliable(fuse(_training_rows(spark, sf), "merchant", scores))
     return auc_lift(sample, FEATURES, (*FEATURES, "text_similarity"))

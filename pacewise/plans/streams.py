@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pacewise.operators.compare import feature_fingerprint, same_fingerprint
 from pacewise.operators.ordering import range_bounds
 from pacewise.operators.training import LogisticModel, fit_converged
-from pacewise.operators.sampling import bottom_k
+from pacewise.operators.sampling import sampled_features
 from pacewise.operators.velocity import features
 from pacewise.plans.models import FIXED, SCORED
 from pacewise.plans.registry import TXN, event_rows, query, table
@@ -82,7 +82,7 @@ def live_scoring(spark: SparkSession, sf: str) -> DataFrame:
 def train_then_score_live(spark: SparkSession, sf: str) -> DataFrame:
     """Fit on the history, keep the model as a file, load it for the stream."""
     path = shared_dir(spark, "model")
-    fit_converged(bottom_k(features(event_rows(spark, sf)))).save(spark, path)
+    fit_converged(sampled_features(event_rows(spark, sf))).save(spark, path)
     scored = _live(spark, sf, LogisticModel.load(spark, path))
     return scored.select("seq", "p", "flagged")
 

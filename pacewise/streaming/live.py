@@ -52,13 +52,17 @@ class LiveFeatures:
         highs = self._held(batch_id)
         oldest = max(highs.values()) - self.lateness if highs else None
         is_late = F.lit(False) if oldest is None else F.col("step") < oldest
-        late, low = batch.agg(F.count_if(is_late), F.min(F.when(~is_late, F.col("step")))).first()
+        size, late, low = batch.agg(F.count(F.lit(1)), F.count_if(is_late),
+                                    F.min(F.when(~is_late, F.col("step")))).first()
         on_time = batch
         if late:
             self.late.write(batch_id, batch.where(is_late))
             on_time = batch.where(~is_late)
         if low is not None:
-            self.output.write(batch_id, self._featured(on_time, batch_id, low, bool(highs)))
+            # A batch smaller than one hot account has none.
+            hot_rows = self.hot_rows if self.hot_rows and size >= self.hot_rows else None
+            past = self._past(on_time, batch_id, low) if highs else None
+            self.output.write(batch_id, self._scored(features(on_time, self.window, past, hot_rows=hot_rows)))
             self.history.write(batch_id, step_partials(on_time))
         if oldest is not None:
             # No row from this batch on can reach further back. The bound uses only what
@@ -72,16 +76,15 @@ class LiveFeatures:
         highs = self.history.read(batch_id).groupBy(BATCH).agg(F.max("step").alias("high"))
         return {row[BATCH]: row.high for row in highs.collect()}
 
-    def _featured(self, rows: DataFrame, batch_id: int, low: int, has_past: bool) -> DataFrame:
-        past = None
-        if has_past:
-            reach = self.history.read(batch_id).where(F.col("step") >= low - self.window)
-            # Only accounts of this batch need their past.
-            past = merge_partials(reach.join(rows.select("account").distinct(), "account", "left_semi"))
-        out = features(rows, self.window, past, hot_rows=self.hot_rows)
-        if self.model is not None:
-            out = self.model.score(out).withColumn("flagged", flag(F.col("p"), self.threshold))
-        return out
+    def _past(self, rows: DataFrame, batch_id: int, low: int) -> DataFrame:
+        """Partials in reach of the rows, for their accounts only."""
+        reach = self.history.read(batch_id).where(F.col("step") >= low - self.window)
+        return merge_partials(reach.join(rows.select("account").distinct(), "account", "left_semi"))
+
+    def _scored(self, featured: DataFrame) -> DataFrame:
+        if self.model is None:
+            return featured
+        return self.model.score(featured).withColumn("flagged", flag(F.col("p"), self.threshold))
 
     def start(self, stream: DataFrame, checkpoint: str, trigger: dict | None = None):
         """Start the query; the default trigger takes all that is there and ends."""
