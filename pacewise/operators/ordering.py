@@ -18,7 +18,7 @@ BUCKET = "__bucket"
 
 # Rows of one range go through one task; more rows make more ranges, not larger ones.
 ROWS_PER_RANGE = 1_000_000
-_FIRST_CUTS, _MOST_CUTS = 1024, 20_000
+_FIRST_CUTS, _MOST_CUTS = 256, 20_000
 
 
 def range_bounds(df: DataFrame, column: str, pieces: int | None = None) -> list[float]:
@@ -29,9 +29,9 @@ def range_bounds(df: DataFrame, column: str, pieces: int | None = None) -> list[
     bounds give the same results.
     """
     def cuts(wanted: int):
-        shares = [i / wanted for i in range(1, wanted)]
-        return df.agg(F.count(column), F.percentile_approx(
-            F.col(column).cast("double"), shares, 10 * wanted)).first()
+        shares = ", ".join(f"{i / wanted!r}D" for i in range(1, wanted))
+        return df.agg(F.count(column), F.expr(
+            f"percentile_approx(CAST(`{column}` AS DOUBLE), array({shares}), {10 * wanted})")).first()
 
     rows, found = cuts(_FIRST_CUTS)
     if pieces is None:
