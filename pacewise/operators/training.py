@@ -85,34 +85,50 @@ def fit(sample: DataFrame, names: Sequence[str] = FEATURES, label: str = "isFrau
         epochs: int = 200, lr: float = 0.1) -> LogisticModel:
     """Full-batch gradient descent on mean log-loss from zero weights.
 
-    Every epoch is one pass over the standardized sample, which stays cached. Tasks
-    return one partial gradient each; the plan is the same in every epoch.
+    The standardized sample is packed into matrices, one per Arrow batch, and cached.
+    Every epoch is one pass over them; tasks return one partial gradient each.
     """
     kept = sample.select(*names, F.col(label).cast("double").alias("y")).persist()
+    packed = None
     try:
         scale = fit_standardizer(kept, names)
-        rows = kept.count()
-        staged = kept.select(F.array(*scale.columns()).alias("z"), "y")
+        scaled = [c.alias(f"z{i}") for i, c in enumerate(scale.columns())]
+        packed = kept.select(*scaled, "y").mapInArrow(_pack, "rows long, matrix binary").persist()
+        rows = packed.agg(F.sum("rows")).first()[0]
         weights, bias = np.zeros(len(names)), 0.0
         for _ in range(epochs):
-            partial = staged.mapInArrow(_gradient(weights, bias), "g array<double>")
+            partial = packed.select("matrix").mapInArrow(_gradient(weights, bias), "g array<double>")
             gradient = np.sum([r.g for r in partial.collect()], axis=0) / rows
             weights = weights - lr * gradient[:-1]
             bias = bias - lr * gradient[-1]
     finally:
         kept.unpersist()
+        if packed is not None:
+            packed.unpersist()
     return LogisticModel(scale.names, scale.mean, scale.std,
                          tuple(float(w) for w in weights), float(bias))
 
 
+def _pack(batches):
+    """Each batch as one row: the bytes of its matrix, the label in the last column."""
+    for batch in batches:
+        matrix = np.column_stack([c.to_numpy() for c in batch.columns])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([len(matrix)]), pa.array([matrix.tobytes()], pa.binary())], names=["rows", "matrix"])
+
+
 def _gradient(weights: np.ndarray, bias: float):
+    width = len(weights) + 1
+
     def partial(batches):
-        total = np.zeros(len(weights) + 1)
+        total = np.zeros(width)
         for batch in batches:
-            z = batch.column(0).flatten().to_numpy().reshape(-1, len(weights))
-            error = 1.0 / (1.0 + np.exp(-(z @ weights + bias))) - batch.column(1).to_numpy()
-            total[:-1] += error @ z
-            total[-1] += error.sum()
+            for cell in batch.column(0):
+                matrix = np.frombuffer(cell.as_buffer(), dtype=np.float64).reshape(-1, width)
+                z, y = matrix[:, :-1], matrix[:, -1]
+                error = 1.0 / (1.0 + np.exp(-(z @ weights + bias))) - y
+                total[:-1] += error @ z
+                total[-1] += error.sum()
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["g"])
     return partial
 

@@ -29,6 +29,8 @@ HISTORY_SCHEMA = "account long, step int, n long, units long, peak double"
 # One row in this many is looked at to find such accounts.
 _SIZE_SHARE = 64
 
+_MORE_PIECES = 16
+
 PARTIAL = ("n", "units", "peak")
 
 
@@ -149,7 +151,8 @@ def _hot_accounts(source: DataFrame, hot_rows: int) -> DataFrame:
     share = min(_SIZE_SHARE, max(1, hot_rows // 64))
     sized = (source.where(f"pmod(xxhash64(seq), {share}L) = 0").groupBy("account").agg(
         F.expr(f"count(1) * {share}L AS size"), F.expr("min(seq) AS lo"), F.expr("max(seq) AS hi")))
-    width = f"greatest(1L, ceil((hi - lo + 1) / ceil(size / {hot_rows})))"
+    # Far more pieces than needed, so that uneven stretches of seq stay small too.
+    width = f"greatest(1L, ceil((hi - lo + 1) / ceil(size * {_MORE_PIECES} / {hot_rows})))"
     return sized.where(f"size >= {hot_rows}").selectExpr(
         "account", f"struct(lo, CAST({width} AS BIGINT) AS width) AS cut")
 

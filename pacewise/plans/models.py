@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from pacewise.operators.aggregates import scored_summary
 from pacewise.operators.auc import area_under_roc
 from pacewise.operators.sampling import bottom_k, sampled_features
-from pacewise.operators.text import embed_different, fuse
-from pacewise.operators.search import top1
+from pacewise.operators.text import fuse
 from pacewise.operators.training import (LogisticModel, Standardizer, auc_lift, fit, fit_converged,
                                          in_sample_auc, standardizer_table)
 from pacewise.operators.velocity import FEATURES, features
 from pacewise.plans.registry import TXN, event_rows, features_sql, query, table
+from pacewise.plans.texts import TYPE_SCORES, type_scores
 from pacewise.session import reliable
 
 # A model with given numbers, so that scoring can be checked by itself.
@@ -75,14 +75,24 @@ def scored_report(spark: SparkSession, sf: str) -> DataFrame:
         "scored", "flagged", F.round("percent", 6).alias("percent"), F.round("score_sum", 4).alias("score_sum"))
 
 
-def auc_sql(source: str, score: str, label: str) -> str:
-    """Rank sum with the mean rank for equal scores."""
-    return f"""ranked AS (SELECT {label} AS y, rank() OVER (ORDER BY {score}) +
+def auc_ctes(source: str, score: str, label: str, tag: str) -> str:
+    """CTE ``<tag>_sums``: class sizes, and the rank sum with the mean rank for equal scores."""
+    return f"""{tag}_ranked AS (SELECT {label} AS y, rank() OVER (ORDER BY {score}) +
     (count(*) OVER (PARTITION BY {score}) - 1) / 2 AS r FROM {source}),
-sums AS (SELECT count(*) FILTER (y = 1) AS pos, count(*) FILTER (y <> 1) AS neg,
-  sum(r) FILTER (y = 1) AS rank_sum FROM ranked)
-SELECT pos AS positives, neg AS negatives, round(
-  (rank_sum - pos::DOUBLE * (pos + 1) / 2) / (pos::DOUBLE * neg), 6) AS auc FROM sums"""
+{tag}_sums AS (SELECT count(*) FILTER (y = 1) AS pos, count(*) FILTER (y <> 1) AS neg,
+  sum(r) FILTER (y = 1) AS rank_sum FROM {tag}_ranked)"""
+
+
+_AUC = "(rank_sum - pos::DOUBLE * (pos + 1) / 2) / (pos::DOUBLE * neg)"
+
+
+def auc_value(tag: str) -> str:
+    return f"SELECT {_AUC} FROM {tag}_sums"
+
+
+def auc_sql(source: str, score: str, label: str, decimals: int = 6) -> str:
+    return f"""{auc_ctes(source, score, label, 'auc')}
+SELECT pos AS positives, neg AS negatives, round({_AUC}, {decimals}) AS auc FROM auc_sums"""
 
 
 def _rounded_auc(result: DataFrame) -> DataFrame:
@@ -112,20 +122,25 @@ def auc_of_documents(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded_auc(area_under_roc(rows, "n_chars", "toxic"))
 
 
-def gradient_sql(epochs: int = GD_EPOCHS, rate: float = GD_RATE) -> str:
-    """Each epoch of gradient descent as a pair of CTEs."""
-    ids = range(len(FEATURES))
-    parts = ["st AS (SELECT " + ", ".join(
-        f"avg({n}) AS m{i}, greatest(stddev_pop({n}), 1e-9) AS d{i}" for i, n in enumerate(FEATURES)) + " FROM feat)",
-        "z AS (SELECT " + ", ".join(f"({n} - m{i}) / d{i} AS z{i}" for i, n in enumerate(FEATURES))
-        + ", CAST(isFraud AS DOUBLE) AS y FROM feat, st)",
-        "w0 AS (SELECT " + ", ".join(f"CAST(0 AS DOUBLE) AS w{i}" for i in ids) + ", CAST(0 AS DOUBLE) AS b)"]
+def gradient_sql(names=FEATURES, epochs: int = GD_EPOCHS, rate: float = GD_RATE,
+                 source: str = "feat", tag: str = "d") -> str:
+    """CTEs of gradient descent, a pair per epoch; the weights end in ``<tag>_w<epochs>``."""
+    ids = range(len(names))
+    parts = [f"{tag}_st AS (SELECT " + ", ".join(
+        f"avg({n}) AS m{i}, greatest(stddev_pop({n}), 1e-9) AS d{i}" for i, n in enumerate(names))
+        + f" FROM {source})",
+        f"{tag}_z AS (SELECT " + ", ".join(f"({n} - m{i}) / d{i} AS z{i}" for i, n in enumerate(names))
+        + f", CAST(isFraud AS DOUBLE) AS y FROM {source}, {tag}_st)",
+        f"{tag}_w0 AS (SELECT " + ", ".join(f"CAST(0 AS DOUBLE) AS w{i}" for i in ids)
+        + ", CAST(0 AS DOUBLE) AS b)"]
+    dot = " + ".join(f"z{i} * w{i}" for i in ids)
     for e in range(epochs):
-        dot = " + ".join(f"z{i} * w{i}" for i in ids)
-        parts.append(f"e{e} AS (SELECT z.*, 1 / (1 + exp(-({dot} + b))) - y AS err FROM z, w{e})")
-        parts.append(f"w{e + 1} AS (SELECT " + ", ".join(
-            f"(SELECT w{i} FROM w{e}) - {rate}::DOUBLE * avg(err * z{i}) AS w{i}" for i in ids)
-            + f", (SELECT b FROM w{e}) - {rate}::DOUBLE * avg(err) AS b FROM e{e})")
+        w = f"{tag}_w{e}"
+        parts.append(f"{tag}_e{e} AS (SELECT {tag}_z.*, 1 / (1 + exp(-({dot} + b))) - y AS err "
+                     f"FROM {tag}_z, {w})")
+        parts.append(f"{tag}_w{e + 1} AS (SELECT " + ", ".join(
+            f"(SELECT w{i} FROM {w}) - {rate}::DOUBLE * avg(err * z{i}) AS w{i}" for i in ids)
+            + f", (SELECT b FROM {w}) - {rate}::DOUBLE * avg(err) AS b FROM {tag}_e{e})")
     return ", ".join(parts)
 
 
@@ -133,7 +148,7 @@ _WEIGHTS = [f"w{i}" for i in range(len(FEATURES))] + ["b"]
 
 
 @query("fit_gradient_descent", f"WITH {features_sql()}, {gradient_sql()} SELECT "
-       + ", ".join(f"round({w}, 6) AS {w}" for w in _WEIGHTS) + f" FROM w{GD_EPOCHS}")
+       + ", ".join(f"round({w}, 6) AS {w}" for w in _WEIGHTS) + f" FROM d_w{GD_EPOCHS}")
 def fit_gradient_descent(spark: SparkSession, sf: str) -> DataFrame:
     model = fit(sampled_features(event_rows(spark, sf)), epochs=GD_EPOCHS, lr=GD_RATE)
     values = [*model.weights, model.bias]
@@ -166,13 +181,48 @@ def backfill_train_auc(spark: SparkSession, sf: str) -> DataFrame:
     return in_sample_auc(fit_converged(sample), sample)
 
 
+def score_sql(names, epochs: int, source: str, tag: str) -> str:
+    """CTE ``<tag>_scored (y, s)``: in-sample scores after gradient descent."""
+    chain = gradient_sql(names, epochs, GD_RATE, source, tag)
+    dot = " + ".join(f"z{i} * w{i}" for i in range(len(names)))
+    return (f"{chain}, {tag}_scored AS (SELECT {tag}_z.y, 1 / (1 + exp(-({dot} + b))) AS s "
+            f"FROM {tag}_z, {tag}_w{epochs})")
+
+
+def _descent(sample: DataFrame, names, label: str = "isFraud") -> LogisticModel:
+    return fit(sample, names, label, epochs=GD_EPOCHS, lr=GD_RATE)
+
+
+@query("backfill_descent_auc", f"WITH {features_sql()}, {score_sql(FEATURES, GD_EPOCHS, 'feat', 'g')}, "
+       + auc_sql("g_scored", "s", "y", 4))
+def backfill_descent_auc(spark: SparkSession, sf: str) -> DataFrame:
+    """The backfill with a few epochs of gradient descent, which SQL can repeat."""
+    sample = _training_rows(spark, sf)
+    return in_sample_auc(_descent(sample, FEATURES), sample).withColumn("auc", F.round("auc", 4))
+
+
+def _fused_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """The sample with the best similarity of the event type to a part name."""
+    return reliable(fuse(_training_rows(spark, sf), "merchant", type_scores(spark, sf)))
+
+
+EXTENDED = (*FEATURES, "text_similarity")
+
+
 @query("auc_lift_of_text")
 def auc_lift_of_text(spark: SparkSession, sf: str) -> DataFrame:
-    """AUC with and without the best similarity of the event type to a part type."""
-    vectors = embed_different(table(spark, sf, "events"), "event_type")
-    types = embed_different(table(spark, sf, "part"), "p_type")
-    references = types.select(F.col("text").alias("id"), F.col("embedding").alias("vector"),
-                              F.xxhash64("text").alias("ord"))
-    scores = top1(vectors, references, "text_key").select("text_key", F.col("best_score").alias("score"))
-    sample = reliable(fuse(_training_rows(spark, sf), "merchant", scores))
-    return auc_lift(sample, FEATURES, (*FEATURES, "text_similarity"))
+    """AUC with and without the text feature, both fits converged."""
+    return auc_lift(_fused_sample(spark, sf), FEATURES, EXTENDED)
+
+
+@query("auc_lift_of_text_descent", f"""WITH {features_sql()}, {TYPE_SCORES},
+fused AS (SELECT feat.*, best.score AS text_similarity FROM feat JOIN best ON best.text = feat.merchant),
+{score_sql(FEATURES, GD_EPOCHS, 'fused', 'g')}, {score_sql(EXTENDED, GD_EPOCHS, 'fused', 'h')},
+{auc_ctes('g_scored', 's', 'y', 'ga')}, {auc_ctes('h_scored', 's', 'y', 'ha')},
+both_auc AS (SELECT ({auc_value('ga')}) AS a, ({auc_value('ha')}) AS b)
+SELECT round(a, 4) AS auc_base, round(b, 4) AS auc_extended, round(b - a, 4) AS lift,
+  CASE WHEN b - a > 0.0005 THEN 'lifts' WHEN b - a < -0.0005 THEN 'does not lift' ELSE 'tied' END AS verdict
+FROM both_auc""")
+def auc_lift_of_text_descent(spark: SparkSession, sf: str) -> DataFrame:
+    found = auc_lift(_fused_sample(spark, sf), FEATURES, EXTENDED, fitter=_descent)
+    return found.select(*[F.round(c, 4).alias(c) for c in ("auc_base", "auc_extended", "lift")], "verdict")

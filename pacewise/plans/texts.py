@@ -190,13 +190,13 @@ def compare_searches(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- lookups and dimension joins ---------------------------------------------------
 
-_TYPE_SCORES = f"""{embedding_sql('events', 'event_type', 'q')}, {embedding_sql('part', 'p_name', 'c')},
+TYPE_SCORES = f"""{embedding_sql('events', 'event_type', 'q')}, {embedding_sql('part', 'p_name', 'c')},
 best AS (SELECT text, max(s) AS score FROM (
   SELECT q.text, c.text AS id, sum(q.x * c.x) AS s FROM q JOIN c USING (dim) GROUP BY q.text, c.text)
   GROUP BY text)"""
 
 
-def _type_scores(spark: SparkSession, sf: str) -> DataFrame:
+def type_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Best similarity of each event type to a part name."""
     names = embed_different(table(spark, sf, "part"), "p_name").select(
         F.col("text").alias("id"), F.col("embedding").alias("vector"), F.xxhash64("text").alias("ord"))
@@ -204,19 +204,19 @@ def _type_scores(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("text_key", "text", F.col("best_score").alias("score"))
 
 
-@query("lookup_text_score", f"""WITH {_TYPE_SCORES} SELECT e.event_id, round(best.score, 6) AS score
+@query("lookup_text_score", f"""WITH {TYPE_SCORES} SELECT e.event_id, round(best.score, 6) AS score
 FROM events e LEFT JOIN best ON best.text = e.event_type""")
 def lookup_text_score(spark: SparkSession, sf: str) -> DataFrame:
-    scores = _type_scores(spark, sf).select(F.col("text").alias("event_type"), "score")
+    scores = type_scores(spark, sf).select(F.col("text").alias("event_type"), "score")
     return join_dimension(table(spark, sf, "events"), scores, "event_type").select(
         "event_id", F.round("score", 6).alias("score"))
 
 
-@query("fuse_text_similarity", f"""WITH {TXN}, {_TYPE_SCORES}
+@query("fuse_text_similarity", f"""WITH {TXN}, {TYPE_SCORES}
 SELECT seq, account, merchant, round(best.score, 6) AS text_similarity
 FROM txn JOIN best ON best.text = txn.merchant""")
 def fuse_text_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    fused = fuse(event_rows(spark, sf), "merchant", _type_scores(spark, sf))
+    fused = fuse(event_rows(spark, sf), "merchant", type_scores(spark, sf))
     return fused.select("seq", "account", "merchant", F.round("text_similarity", 6).alias("text_similarity"))
 
 
