@@ -45,13 +45,17 @@ def range_bounds(df: DataFrame, column: str, pieces: int | None = None) -> list[
 
 
 def with_range(df: DataFrame, column: str, bounds: Sequence[float]) -> DataFrame:
-    """Add the number of the range a value falls in. Equal values share a range."""
+    """Add the number of the range a value falls in.
+
+    Equal values share a range. Nulls come first and NaN last, as in a sort.
+    """
     if not bounds:
-        return df.withColumn(BUCKET, F.lit(0))
+        return df.withColumn(BUCKET, F.when(F.col(column).isNull(), -1).otherwise(0))
     splits = [float("-inf"), *bounds, float("inf")]
     staged = df.withColumn("__order", F.col(column).cast("double"))
     cut = Bucketizer(splits=splits, inputCol="__order", outputCol=BUCKET, handleInvalid="keep")
-    return cut.transform(staged).withColumn(BUCKET, F.col(BUCKET).cast("int")).drop("__order")
+    return cut.transform(staged).withColumn(
+        BUCKET, F.coalesce(F.col(BUCKET).cast("int"), F.lit(-1))).drop("__order")
 
 
 def running_totals(df: DataFrame, column: str, totals: Mapping[str, Column],

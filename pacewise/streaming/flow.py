@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pacewise.operators.joins import fits_broadcast
 from pacewise.operators.ordering import BUCKET, range_bounds, with_range
 
 KEPT = "kept"
@@ -14,12 +15,16 @@ def latest_per_interval(df: DataFrame, ts: str, interval: str, seq: str,
                         lateness: str | None = None) -> DataFrame:
     """The last row of each interval of event time, with ``interval_start``.
 
-    Works on a table, and on a stream when ``lateness`` sets its watermark. Partial
-    maxima are taken before the shuffle, so a busy interval is one row per task.
+    Works on a table, and on a stream when ``lateness`` sets its watermark. On a table
+    the newest time of each interval is found first, by hashed partials over the time
+    column alone, and only rows of those times are compared as a whole.
     """
-    rows = df
     if lateness is not None:
         rows = df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
+    else:
+        newest = df.groupBy(F.window(ts, interval)).agg(F.max(ts).alias("__newest")).select("__newest")
+        found = F.broadcast(newest) if fits_broadcast(newest) else newest
+        rows = df.join(found, F.col(ts) == F.col("__newest"), "left_semi")
     last = F.max_by(F.struct(*df.columns), F.struct(ts, seq))
     return (rows.groupBy(F.window(ts, interval).alias("interval")).agg(last.alias(KEPT))
             .select(F.col("interval.start").alias("interval_start"), f"{KEPT}.*"))

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pacewise.operators.ordering import every_nth, range_bounds, running_totals, with_ordinal
-from pacewise.operators.sampling import bottom_k, merge_samples
+from pacewise.operators.sampling import bottom_k, merge_samples, sampled_features
+from pacewise.operators.velocity import features
 
 
 def test_ordinals_have_no_gap(spark):
@@ -29,6 +30,17 @@ def test_no_unpartitioned_window_over_rows(spark):
     assert rows_windowed and all("[__bucket" in line for line in rows_windowed)
 
 
+def test_a_null_keeps_its_place(spark):
+    df = spark.createDataFrame([(3,), (None,), (1,)], "seq long")
+    assert {r.seq: r.ordinal for r in with_ordinal(df).collect()} == {None: 0, 1: 1, 3: 2}
+
+
+def test_sampled_features_are_those_of_the_table(rows):
+    drawn = sampled_features(rows, 60)
+    whole = features(rows).join(bottom_k(rows, 60).select("seq"), "seq", "left_semi").select(*drawn.columns)
+    assert drawn.count() == 60 and drawn.exceptAll(whole).isEmpty()
+
+
 def test_picks(spark):
     df = spark.range(0, 500, 2).withColumnRenamed("id", "seq")
     assert [r.seq for r in every_nth(df, 100).orderBy("seq").collect()] == [0, 200, 400]
