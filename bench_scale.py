@@ -35,7 +35,7 @@ def main() -> None:
 
     if not path_exists(spark, args.folder):
         base = event_rows(spark, os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"))
-        copies = base.crossJoin(F.broadcast(spark.range(args.copies).withColumnRenamed("id", "copy")))
+        copies = base.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(args.copies - 1))))
         account = F.col("account") * args.copies + F.col("copy")
         if args.hot:
             account = F.when(F.col("seq") % 3 == 0, F.lit(-1)).otherwise(account)
