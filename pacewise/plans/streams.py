@@ -17,7 +17,7 @@ from pacewise.plans.registry import TXN, event_rows, query, table
 from pacewise.plans.windows import VELOCITY_SQL, rounded
 from pacewise.session import shared_dir
 from pacewise.sources.landing import live_transactions
-from pacewise.streaming.flow import flow_log, latest_per_interval, max_backlog, shedding
+from pacewise.streaming.flow import flow_log, latest_per_interval, max_backlog, shedding, watched
 from pacewise.streaming.folds import RunningSample, RunningStats
 from pacewise.streaming.keyed import keyed_features
 from pacewise.streaming.live import LiveFeatures
@@ -63,7 +63,7 @@ def stream_velocity_keyed_state(spark: SparkSession, sf: str) -> DataFrame:
                 .option("checkpointLocation", f"{root}/checkpoint")
                 .trigger(availableNow=True).start(f"{root}/features"))
 
-    land_and_run(spark, event_rows(spark, sf), root, run)
+    land_and_run(spark, event_rows(spark, sf), root, run, slices=2)
     return rounded(spark.read.parquet(f"{root}/features"))
 
 
@@ -112,6 +112,22 @@ def _each_batch(function, root: str):
                            .trigger(availableNow=True).start())
 
 
+LATENESS = 48
+
+
+@query("stream_late_rows", f"""WITH {TXN} SELECT seq, account, step, amount FROM txn
+WHERE seq % 2 = 1 AND step < (SELECT max(step) FROM txn WHERE seq % 2 = 0) - {LATENESS}""")
+def stream_late_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Odd rows arrive after all even ones; those too far behind are kept apart."""
+    root = shared_dir(spark, "late-rows")
+    live = LiveFeatures(spark, root, lateness=LATENESS)
+    rows = event_rows(spark, sf)
+    for parity in (0, 1):
+        rows.where(F.col("seq") % 2 == parity).write.mode("append").parquet(f"{root}/landed")
+        live.start(live_transactions(spark, f"{root}/landed"), f"{root}/checkpoint").awaitTermination()
+    return live.late.read().select("seq", "account", "step", "amount")
+
+
 # --- flow ------------------------------------------------------------------------
 
 _LATEST = """SELECT time_bucket(INTERVAL '2 hours', ts) AS interval_start,
@@ -125,6 +141,20 @@ def latest_event_per_interval(spark: SparkSession, sf: str) -> DataFrame:
     return latest.select("interval_start", "event_id", "user_id", "value")
 
 
+@query("stream_latest_per_interval", f"""SELECT * FROM ({_LATEST})
+WHERE interval_start + INTERVAL '2 hours' <= (SELECT max(ts) FROM events) - INTERVAL '6 hours'""")
+def stream_latest_per_interval(spark: SparkSession, sf: str) -> DataFrame:
+    """On a stream an interval is put out once the watermark has passed its end."""
+    root = shared_dir(spark, "latest-per-interval")
+    table(spark, sf, "events").repartitionByRange(4, "event_id").write.parquet(f"{root}/landed")
+    stream = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{root}/landed")
+    latest = latest_per_interval(stream, "ts", "2 hours", "event_id", lateness="6 hours")
+    (watched(latest, "kept").writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint")
+     .trigger(availableNow=True).start(f"{root}/kept").awaitTermination())
+    return spark.read.parquet(f"{root}/kept").select(
+        F.col("interval_start").cast("timestamp_ntz").alias("interval_start"), "event_id", "user_id", "value")
+
+
 @query("shedding_account", """SELECT count(*) AS produced, count(DISTINCT epoch_us(ts) // 7200000000) AS consumed,
   count(*) - count(DISTINCT epoch_us(ts) // 7200000000) AS dropped FROM events""")
 def shedding_account(spark: SparkSession, sf: str) -> DataFrame:
