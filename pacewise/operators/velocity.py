@@ -58,6 +58,9 @@ def features(rows: DataFrame, window: int = WINDOW_STEPS, history: DataFrame | N
     """
     if window < 1:
         raise ValueError("the window needs at least one step")
+    taken = sorted({*PARTIAL, "live", "cut", "piece"} & set(rows.columns))
+    if taken:
+        raise ValueError(f"column names used for the work itself: {taken}")
     kept = _quoted(rows.columns)
     if history is None:
         # A row's partial is an expression over it, so nothing extra is shuffled.

@@ -96,3 +96,8 @@ def test_hot_groups_are_bounded(spark):
 def test_window_must_be_positive(rows):
     with pytest.raises(ValueError):
         features(rows, 0)
+
+
+def test_names_used_inside_are_refused(rows):
+    with pytest.raises(ValueError, match="cut"):
+        features(rows.withColumn("cut", F.lit(1)))
