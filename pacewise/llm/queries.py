@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pacewise.llm import jaccard
+from pacewise.llm import jaccard, suffixes
 from pacewise.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,30 @@ FROM doc LEFT JOIN n USING (doc_id) JOIN comp ON comp.node = doc.doc_id"""
 @query("op1_jaccard_join", JACCARD_SQL)
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+SUFFIX_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s),
+hit AS (SELECT w.doc_id, i FROM w JOIN f USING (s) WHERE m < w.doc_id),
+island AS (
+  SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g
+  FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh
+        FROM hit)),
+span AS (SELECT doc_id, min(i) AS b, max(i) + 50 AS e FROM island GROUP BY doc_id, g),
+part AS (
+  SELECT doc_id, b, substr(h, 2 * p + 1, 2 * (b - p)) AS kept
+  FROM (SELECT doc_id, b, h, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS p
+        FROM (SELECT doc_id, b, e FROM span UNION ALL SELECT doc_id, n, n FROM d) JOIN d USING (doc_id))),
+kept AS (SELECT doc_id, string_agg(kept, '' ORDER BY b) AS kept FROM part GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(e - b) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)"""
+
+
+@query("op6_suffix_dedup", SUFFIX_SQL)
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removal_digests(table(spark, sf_dir, "documents"))
