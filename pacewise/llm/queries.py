@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pacewise.llm import jaccard, language, quality, suffixes, tokens
+from pacewise.llm import jaccard, language, quality, rules, suffixes, tokens
 from pacewise.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,66 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_quality_classifier")
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_SPACE = r"[\x20\x09-\x0D]"
+
+
+def _rate(count: str, base: str) -> str:
+    return f"CASE WHEN {base} > 0 THEN least({rules.STEPS}, 1000 * {count} // {base}) ELSE 0 END"
+
+
+RULES_SQL = rf"""
+WITH doc AS (
+  SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, {WORDS.format("text")} AS w FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM doc WHERE len(w) > 2)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS r FROM twice, (SELECT unnest(range(0, 3)) AS k) GROUP BY doc_id),
+m AS (
+  SELECT doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(t, '{_SPACE}', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+              - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))))
+              AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(r, 0) AS BIGINT) AS n_repeat_words,
+         CAST(length(regexp_replace(t, '[^A-Z]', '', 'g')) AS BIGINT) AS n_capitals,
+         CAST(length(regexp_replace(t, '[^!]', '', 'g')) AS BIGINT) AS n_marks
+  FROM doc LEFT JOIN rep USING (doc_id)),
+v AS (
+  SELECT doc_id, stratum, unnest({list(rules.RULES)}) AS rule, unnest([
+    {_rate("n_symbols", "word_chars")}, {_rate("n_dup_lines", "n_words")}, {_rate("n_repeat_words", "n_words")},
+    {_rate("n_capitals", "word_chars")}, {_rate("n_marks", "n_words")},
+    CASE WHEN n_words > 0 THEN least({rules.STEPS}, 10 * word_chars // n_words) ELSE 0 END]) AS value
+  FROM m),
+lab AS (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+tally AS (
+  SELECT stratum, rule, value, count(*) FILTER (q = 1) AS good, count(*) FILTER (q <> 1) AS bad
+  FROM v JOIN lab USING (doc_id) GROUP BY 1, 2, 3),
+size AS (SELECT stratum, rule, sum(good) AS n, count(*) OVER () AS tests FROM tally GROUP BY 1, 2),
+term AS (
+  SELECT stratum, rule, tests, i,
+         CAST(n AS DOUBLE) * ln(1 - {rules.RISK}) + i * ln({rules.RISK} / (1 - {rules.RISK}))
+         + coalesce(sum(ln((n - i + 1) / CAST(i AS DOUBLE))) FILTER (i > 0)
+                    OVER (PARTITION BY stratum, rule ORDER BY i), 0) AS l
+  FROM (SELECT *, unnest(range(0, CAST(least(n - 1, ceil(n * {rules.RISK})) AS BIGINT) + 1)) AS i FROM size WHERE n > 0)),
+most AS (
+  SELECT stratum, rule, coalesce(max(i) FILTER (p <= {rules.LEVEL} / tests), -1) AS most
+  FROM (SELECT *, sum(exp(l)) OVER (PARTITION BY stratum, rule ORDER BY i) AS p FROM term) GROUP BY 1, 2),
+cut AS (
+  SELECT stratum, rule, max_by(value, gain * 10000 + value) AS cutoff
+  FROM (SELECT stratum, rule, value, g, b - {rules.COST} * g AS gain
+        FROM (SELECT stratum, rule, value, coalesce(sum(good) OVER x, 0) AS g, coalesce(sum(bad) OVER x, 0) AS b FROM tally
+              WINDOW x AS (PARTITION BY stratum, rule ORDER BY value DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))
+  JOIN most USING (stratum, rule) WHERE g <= most AND gain > 0 GROUP BY 1, 2),
+bad AS (SELECT DISTINCT doc_id FROM v JOIN cut USING (stratum, rule) WHERE value > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f AS base_failed,
+       NOT f AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept
+FROM (SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.MOST_REPEATED} * n_words AS f FROM m)"""
+
+
+@query("op10_quality_rules", RULES_SQL)
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
