@@ -75,7 +75,7 @@ if __name__ == "__main__":
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
-    session = local_session("oracle", cores=8)
+    session = local_session("oracle", cores=8, spark__ui__showConsoleProgress="false")
     database = connect(sf)
     oracles, bad = entry.oracle_sql(), 0
     for key, query in entry.queries().items():
