@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pacewise.llm import jaccard, language, quality, rules, suffixes, tokens
+from pacewise.llm import jaccard, language, mixing, quality, rules, suffixes, tokens
 from pacewise.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,56 @@ FROM (SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.MOS
 @query("op10_quality_rules", RULES_SQL)
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def mixing_sql(documents: str = "documents") -> str:
+    return rf"""
+WITH doc AS (
+  SELECT doc_id, source, CAST(len({WORDS.format("text")}) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM {documents}),
+ranked AS (
+  SELECT source, source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS src
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM doc GROUP BY source)),
+capped AS (SELECT *, ({list(mixing.WEIGHTS)})[src % {len(mixing.WEIGHTS)} + 1] AS weight, source_size * {mixing.MOST_TIMES} AS cap
+           FROM ranked),
+stepped AS (
+  SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, src
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+            / CAST(sum(weight) OVER (ORDER BY cap / weight, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
+  FROM capped),
+aim AS (
+  SELECT src, source, source_size, least(CAST(cap AS DOUBLE), weight * coalesce(min(CASE WHEN level <= cap / weight THEN level END)
+         OVER (), 0)) AS target FROM stepped),
+size AS (
+  SELECT words, block, words // block AS slots
+  FROM (SELECT words, greatest(1, least({mixing.BLOCK_WORDS}, words // {mixing.LEAST_SLOTS})) AS block
+        FROM (SELECT CAST(sum(source_size) AS BIGINT) AS words FROM aim))),
+upto AS (
+  SELECT src, CASE WHEN src = max(src) OVER () THEN {mixing.POINTS}
+              ELSE CAST(floor(sum(target) OVER (ORDER BY src) / sum(target) OVER () * {mixing.POINTS}) AS BIGINT) END AS hi FROM aim),
+bound AS (SELECT src, hi, coalesce(lag(hi) OVER (ORDER BY src), 0) AS lo FROM upto),
+slot AS (
+  SELECT slot, src, row_number() OVER (PARTITION BY src ORDER BY slot) - 1 AS rank
+  FROM (SELECT slot, slot * {mixing.GOLDEN} % {mixing.POINTS} AS point FROM (SELECT unnest(range(0, slots)) AS slot FROM size))
+  JOIN bound ON point >= lo AND point < hi),
+placed AS (
+  SELECT doc_id, size, src, source_size, target, coalesce(sum(size) OVER (PARTITION BY src ORDER BY h, doc_id, size
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM doc JOIN aim ON doc.source IS NOT DISTINCT FROM aim.source),
+turn AS (
+  SELECT src, start, k * source_size + start AS f, k * source_size + start + size AS u
+  FROM placed, (SELECT unnest(range(0, {mixing.MOST_TIMES})) AS k) WHERE size > 0),
+part AS (
+  SELECT src, start, f, u, unnest(range(CAST(f // block AS BIGINT), CAST((u - 1) // block + 1 AS BIGINT))) AS rank, block
+  FROM turn, size),
+taken AS (
+  SELECT src, start, sum(least(u, (rank + 1) * block) - greatest(f, rank * block)) AS taken
+  FROM part JOIN slot USING (src, rank) GROUP BY src, start)
+SELECT doc_id, size, source_size, target,
+       CAST(CASE WHEN size > 0 THEN coalesce(taken, 0) ELSE 0 END AS BIGINT) AS taken
+FROM placed LEFT JOIN taken USING (src, start)"""
+
+
+@query("op3_mix_sources", mixing_sql())
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture_digest(table(spark, sf_dir, "documents"))
