@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pacewise.llm import jaccard, language, mixing, quality, rules, suffixes, tokens
+from pacewise.llm import jaccard, language, mixing, quality, rules, suffixes, tokens, warc
 from pacewise.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,3 +209,26 @@ FROM placed LEFT JOIN taken USING (src, start)"""
 @query("op3_mix_sources", mixing_sql())
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_digest(table(spark, sf_dir, "documents"))
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+f AS (SELECT h, n, min(page_id) AS first FROM d GROUP BY h, n),
+bits AS (
+  SELECT h, string_agg(lpad(bin(CAST('0x' || substr(h, 10 * k + 1, 10) AS BIGINT)), 40, '0'), '' ORDER BY k) AS bits
+  FROM (SELECT DISTINCT h FROM d), (SELECT unnest(range(0, 4)) AS k) GROUP BY h),
+b32 AS (
+  SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + list_sum(list_transform(range(0, 5), lambda j: CAST(substr(bits, 5 * i + j + 1, 1) AS INTEGER) * (16 >> j)))::INTEGER, 1),
+         '' ORDER BY i) AS digest
+  FROM bits, (SELECT unnest(range(0, 32))::INTEGER AS i) GROUP BY h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d JOIN f USING (h, n) JOIN b32 USING (h)"""
+
+
+@query("op8_warc_packages", WARC_SQL)
+def op8_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
