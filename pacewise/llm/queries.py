@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pacewise.llm import jaccard, language, mixing, quality, rules, suffixes, tokens, warc
+from pacewise.llm import decontaminate, jaccard, language, mixing, quality, rules, suffixes, tokens, warc
 from pacewise.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -232,3 +232,8 @@ FROM d JOIN f USING (h, n) JOIN b32 USING (h)"""
 @query("op8_warc_packages", WARC_SQL)
 def op8_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op4_decontaminate")
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

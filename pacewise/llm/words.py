@@ -64,9 +64,14 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         first = end
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+# Bytes that end a word where punctuation does not count: ASCII other than letters and digits.
+PLAIN = np.ones(256, bool)
+PLAIN[list(range(48, 58)) + list(range(65, 91)) + list(range(97, 123)) + list(range(128, 256))] = False
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each text the index of its first word (one more at the end)."""
-    solid = ~_SPACE[data]
+    solid = ~breaks[data]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     inner = offsets[1:-1]
