@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pacewise.llm import decontaminate, jaccard, language, mixing, quality, rules, suffixes, tokens, warc
+from pacewise.llm import decontaminate, jaccard, language, mixing, passages, quality, rules, suffixes, tokens, warc
 from pacewise.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,3 +237,8 @@ def op8_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_decontaminate")
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_substring_chains")
+def op7_substring_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
