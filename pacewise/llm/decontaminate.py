@@ -23,7 +23,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pacewise.llm.scale import small_side
 from pacewise.llm.words import PLAIN, chunks, mix, window_hashes, word_hashes, word_spans
+from pacewise.session import reliable
 
 SHARE = 0.2
 LEAST_WORDS = 8
@@ -192,3 +194,9 @@ def benchmark_matches(documents: DataFrame, benchmark: DataFrame, share: float =
     if not scans:
         return documents.sparkSession.createDataFrame([], _MATCH)
     return reduce(DataFrame.unionByName, scans)
+
+
+def without_benchmark(documents: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+    """Documents that hold no item of ``benchmark``."""
+    found = reliable(benchmark_matches(documents, benchmark, share).select(F.col("doc_id").alias("found")).distinct())
+    return documents.join(small_side(found, 32), F.col("doc_id") == F.col("found"), "left_anti")

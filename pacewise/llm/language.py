@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pacewise.session import reliable
 
@@ -188,9 +189,11 @@ def fit(documents: DataFrame, most: int = FIT_DOCUMENTS) -> LanguageModel:
                          {g: i for i, g in enumerate(gram_table)}, np.concatenate((gram_scores, floor)))
 
 
-def predict(documents: DataFrame, model: LanguageModel) -> DataFrame:
-    """``(doc_id, lang_pred, score)`` for every row of ``(doc_id, text)``."""
+def predict(documents: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` of every row, with ``lang_pred`` and ``score`` of its text."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
+    rows = documents.select("text", *[documents[f"`{c}`"] for c in keep])
+    fields = [*rows.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
     def run(batches):
         learned = shared.value
@@ -198,7 +201,7 @@ def predict(documents: DataFrame, model: LanguageModel) -> DataFrame:
         scores_of = np.zeros((0, len(learned.languages)))
         for batch in batches:
             langs, scores, held, length = [], [], [], 0
-            column = batch.column(1)
+            column = batch.column(0)
             for i, value in enumerate(column):
                 held.append(value.as_py())
                 length += len(held[-1] or "")
@@ -209,10 +212,10 @@ def predict(documents: DataFrame, model: LanguageModel) -> DataFrame:
                     langs += some
                     scores += sure
                     held, length = [], 0
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                                             names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                                             names=[*batch.schema.names[1:], "lang_pred", "score"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(run, T.StructType(fields))
 
 
 def identified(documents: DataFrame) -> DataFrame:

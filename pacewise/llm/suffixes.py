@@ -27,6 +27,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pacewise.llm.words import chunks, mix, powers
 from pacewise.session import reliable
@@ -354,3 +355,30 @@ def kept_text(raw: bytes, begins, ends) -> str:
             at = e
     out.append(raw[at:])
     return b"".join(out).decode()
+
+
+def without_repeats(documents: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Documents with the repeated bytes taken out of their text; a document that loses all its text goes.
+
+    A character goes only if all its bytes do. ``n_chars`` follows the text where it exists.
+    """
+    columns = documents.columns
+    spanned = with_spans(documents.withColumnRenamed("text", "__raw"), repeated_spans(documents, width))
+    names = [c for c in columns if c != "text"]
+    rows = spanned.select("__raw", "begins", "ends", *names)
+    fields = [T.StructField("text", T.StringType()), *rows.schema.fields[3:]]
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for i, (b, e) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                if b:
+                    texts[i] = kept_text(texts[i].encode(), b, e) or None
+            keep = pa.array([t is not None or b is None for t, b in zip(texts, batch.column(1).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[3:]],
+                                             names=["text", *batch.schema.names[3:]]).filter(keep)
+
+    kept = rows.mapInArrow(run, T.StructType(fields))
+    if "n_chars" in columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
+    return kept.select(*columns)
