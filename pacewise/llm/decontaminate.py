@@ -198,5 +198,5 @@ def benchmark_matches(documents: DataFrame, benchmark: DataFrame, share: float =
 
 def without_benchmark(documents: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """Documents that hold no item of ``benchmark``."""
-    found = reliable(benchmark_matches(documents, benchmark, share).select(F.col("doc_id").alias("found")).distinct())
-    return documents.join(small_side(found, 32), F.col("doc_id") == F.col("found"), "left_anti")
+    found = reliable(benchmark_matches(documents, benchmark, share).select(F.col("doc_id").alias("__found")).distinct())
+    return documents.join(small_side(found, 32), F.col("doc_id") == F.col("__found"), "left_anti")

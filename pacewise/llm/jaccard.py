@@ -407,8 +407,8 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80,
 def one_of_each_group(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Documents that have the smallest id of their component. Of rows that repeat an id one stays; a null id stays."""
     found = reliable(near_duplicates(documents, words, percent))
-    gone = reliable(found.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct())
-    kept = documents.join(small_side(gone, 32), F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = reliable(found.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct())
+    kept = documents.join(small_side(gone, 32), F.col("doc_id") == F.col("__gone"), "left_anti")
     counts = found.where("doc_id is not null").agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
     if counts[0] == counts[1]:
         return kept

@@ -175,6 +175,8 @@ def fit(documents: DataFrame, most: int = FIT_DOCUMENTS) -> LanguageModel:
     word_table, word_totals = _top(words, MODEL_WORDS)
     gram_table, _ = _top(grams, MODEL_GRAMS)
     languages = sorted(word_totals)
+    if not languages:
+        return LanguageModel([], {}, np.zeros((0, 0)), {}, np.zeros((1, 0)))
     word_scores = np.array([[math.log((row.get(lang, 0) + 0.5) / (word_totals[lang] + 0.5 * len(word_table)))
                              for lang in languages] for row in word_table.values()]).reshape(-1, len(languages))
     by_length: dict[int, dict[str, int]] = {}
@@ -189,11 +191,12 @@ def fit(documents: DataFrame, most: int = FIT_DOCUMENTS) -> LanguageModel:
                          {g: i for i, g in enumerate(gram_table)}, np.concatenate((gram_scores, floor)))
 
 
-def predict(documents: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of every row, with ``lang_pred`` and ``score`` of its text."""
+def predict(documents: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",),
+            names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` of every row, then the predicted language of its text and the score, called ``names``."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
     rows = documents.select("text", *[documents[f"`{c}`"] for c in keep])
-    fields = [*rows.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    fields = [*rows.schema.fields[1:], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
 
     def run(batches):
         learned = shared.value
@@ -213,7 +216,7 @@ def predict(documents: DataFrame, model: LanguageModel, keep: tuple[str, ...] =
                     scores += sure
                     held, length = [], 0
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                                             names=[*batch.schema.names[1:], "lang_pred", "score"])
+                                             names=[*batch.schema.names[1:], *names])
 
     return rows.mapInArrow(run, T.StructType(fields))
 

@@ -57,7 +57,8 @@ def targets(sizes: DataFrame) -> DataFrame:
     stepped = capped.withColumn(
         "level", (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(after))
     fits = F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))
-    level = F.coalesce(F.min(fits).over(everything), F.lit(0.0))
+    # past the first source that stays below its cap, the steps only fall
+    level = F.coalesce(F.max(fits).over(everything), F.lit(0.0))
     return stepped.select("src", "source", "source_size", F.least(F.col("cap").cast("double"), F.col("weight") * level).alias("target"))
 
 
@@ -75,7 +76,8 @@ def _summed(rows: DataFrame, group: str, piece: str, value, order: list) -> Data
 def schedule(aims: DataFrame, slots: int) -> DataFrame:
     """``(slot, src, rank)``: the source of each slot, and its rank among the slots of that source."""
     order = Window.orderBy("src")
-    upto = F.floor(F.sum("target").over(order) / F.sum("target").over(Window.partitionBy()) * POINTS).cast("long")
+    share = F.try_divide(F.sum("target").over(order), F.sum("target").over(Window.partitionBy()))
+    upto = F.floor(F.coalesce(share, F.lit(0.0)) * POINTS).cast("long")
     bounds = aims.select("src", upto.alias("hi"), F.row_number().over(Window.orderBy(F.desc("src"))).alias("__last"))
     bounds = bounds.select("src", F.coalesce(F.lag("hi").over(order), F.lit(0)).alias("lo"),
                            F.when(F.col("__last") == 1, F.lit(POINTS)).otherwise(F.col("hi")).alias("hi"))

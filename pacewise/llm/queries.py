@@ -174,7 +174,7 @@ stepped AS (
             / CAST(sum(weight) OVER (ORDER BY cap / weight, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
   FROM capped),
 aim AS (
-  SELECT src, source, source_size, least(CAST(cap AS DOUBLE), weight * coalesce(min(CASE WHEN level <= cap / weight THEN level END)
+  SELECT src, source, source_size, least(CAST(cap AS DOUBLE), weight * coalesce(max(CASE WHEN level <= cap / weight THEN level END)
          OVER (), 0)) AS target FROM stepped),
 size AS (
   SELECT words, block, words // block AS slots
