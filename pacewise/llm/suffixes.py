@@ -309,11 +309,11 @@ def _either(width: int, parts: int):
 
 
 def with_spans(documents: DataFrame, spans: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Documents with their ``begins`` and ``ends``; broadcasts the spans if their counted size is small."""
-    spans = reliable(spans)
-    size = spans.agg(F.coalesce(F.sum(F.size("begins") * 16 + 64), F.lit(0))).first()[0]
+    """Documents with their ``__begins`` and ``__ends``; broadcasts the spans if their counted size is small."""
+    spans = reliable(spans.select(F.col("doc").alias("__doc"), F.col("begins").alias("__begins"), F.col("ends").alias("__ends")))
+    size = spans.agg(F.coalesce(F.sum(F.size("__begins") * 16 + 64), F.lit(0))).first()[0]
     spans = F.broadcast(spans) if size <= BROADCAST_BYTES else spans
-    return documents.join(spans, F.col(f"`{id_column}`") == F.col("doc"), "left").drop("doc")
+    return documents.join(spans, F.col(f"`{id_column}`") == F.col("__doc"), "left").drop("__doc")
 
 
 def _digests(batches):
@@ -337,7 +337,7 @@ def _digests(batches):
 def removal_digests(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` for every row."""
     rows = documents.select("doc_id", "text")
-    return (with_spans(rows, repeated_spans(rows, width)).select("doc_id", "text", "begins", "ends")
+    return (with_spans(rows, repeated_spans(rows, width)).select("doc_id", "text", "__begins", "__ends")
             .mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
@@ -365,7 +365,7 @@ def without_repeats(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     columns = documents.columns
     spanned = with_spans(documents.withColumnRenamed("text", "__raw"), repeated_spans(documents, width))
     names = [c for c in columns if c != "text"]
-    rows = spanned.select("__raw", "begins", "ends", *names)
+    rows = spanned.select("__raw", "__begins", "__ends", *names)
     fields = [T.StructField("text", T.StringType()), *rows.schema.fields[3:]]
 
     def run(batches):
