@@ -33,14 +33,13 @@ from pacewise.llm.words import chunks, mix, powers
 from pacewise.session import reliable
 
 WIDTH = 50
-KEY_BYTES = 16
-BUCKET_BYTES = 4 << 20     # text that one task of the index holds, on average
-BATCH_WINDOWS = 1 << 17    # windows of one suffix array before it joins the levels
-SPAN_ROWS = 400_000        # pieces of spans that one task puts together
+KEY_BYTES = 10
+BUCKET_BYTES = 6 << 20     # text that one task of the index holds, on average
+BATCH_WINDOWS = 1 << 16    # windows of one suffix array before it joins the levels
+STRETCH_BYTES = 1 << 20    # segments of neighbouring keys that are searched together
 BROADCAST_BYTES = 32 << 20
 
 _SEGMENTS = "bucket int, rows int, segments binary"
-_PIECES = "part int, docs binary, begins binary, ends binary"
 
 
 def _sliding_min(h: np.ndarray, size: int) -> np.ndarray:
@@ -93,13 +92,14 @@ def ragged(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[at]
 
 
-_FIELDS = (("key", np.uint64), ("doc", np.int64), ("begin", np.int32), ("size", np.int32))
+# Keys travel as 32 bits: two that look alike only cost a comparison, equality is by content.
+_FIELDS = (("key", np.uint32), ("doc", np.int64), ("begin", np.int32), ("size", np.int32))
 
 
 def _shipped(width: int, k: int, buckets: int, parts: int):
     """Segments by bucket of their key, and spans settled within a chunk (negative bucket: part)."""
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             docs = batch.column(0).to_numpy(zero_copy_only=False)
             for first, end_row, data, offsets in chunks(batch.column(1)):
@@ -110,14 +110,14 @@ def _shipped(width: int, k: int, buckets: int, parts: int):
                 if settled.any():
                     yield _span_batch(*_merged(doc[settled], local[settled], (local + end - begin)[settled]), parts, pack)
                 keep = ~settled
-                columns = {"key": key[keep], "doc": doc[keep], "begin": local[keep].astype(np.int32),
+                columns = {"key": key[keep] >> np.uint64(32), "doc": doc[keep], "begin": local[keep].astype(np.int32),
                            "size": (end - begin)[keep].astype(np.int32)}
                 yield _segment_batch(columns, data, begin[keep], buckets, pack)
     return run
 
 
 def _segment_batch(columns, data, begin, buckets, pack) -> pa.RecordBatch:
-    at = (mix(columns["key"]) % np.uint64(buckets)).astype(np.int64)
+    at = (mix(columns["key"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(at, kind="stable")
     cuts = np.searchsorted(at[order], np.arange(buckets + 1))
     some, rows, blobs = [], [], []
@@ -234,11 +234,23 @@ def _repeats(doc, begin, size, text, width: int):
     return out
 
 
+def _in_stretch(key, doc, begin, size, text, width: int):
+    """Spans that go among segments in order of document: equal segments at once, the rest by the index."""
+    place = np.r_[0, np.cumsum(size)[:-1]]
+    power, inverse = powers(len(text) + 1)
+    sums = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * power[:len(text)], out=sums[1:])
+    content = mix((sums[place + size] - sums[place]) * inverse[place])
+    settled = doc > _first_of_equal(key, size, content, doc)
+    rest = ~settled
+    return [_merged(doc[settled], begin[settled], (begin + size)[settled]),
+            *_repeats(doc[rest], begin[rest], size[rest], ragged(text, place[rest], size[rest]), width)]
+
+
 def _indexed(width: int, parts: int):
     """Spans found in one bucket of segments; spans of a part only pass."""
     def run(table: pa.Table) -> pa.Table:
         pack, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
-        bucket = table.column("bucket")[0].as_py()
         held: dict[str, list] = {name: [] for name, _ in _FIELDS}
         texts = []
         for rows, blob in zip(table.column("rows").to_pylist(), table.column("segments")):
@@ -257,20 +269,17 @@ def _indexed(width: int, parts: int):
         last = np.r_[change[1:], len(order)] - 1
         shared = np.repeat(doc[order][change] != doc[order][last], np.diff(np.r_[change, len(order)]))
         keep = order[shared]
-        keep = keep[np.argsort(doc[keep], kind="stable")]
-        key, doc, begin, size = key[keep], doc[keep], begin[keep], size[keep]
-        text = ragged(text, place[keep], size)
-        place = np.r_[0, np.cumsum(size)[:-1]] if len(size) else np.zeros(0, np.int64)
-        power, inverse = powers(len(text) + 1)
-        sums = np.zeros(len(text) + 1, np.uint64)
-        np.cumsum((text.astype(np.uint64) + np.uint64(1)) * power[:len(text)], out=sums[1:])
-        content = mix((sums[place + size] - sums[place]) * inverse[place])
-        settled = doc > _first_of_equal(key, size, content, doc)
-        found = [_merged(doc[settled], begin[settled], (begin + size)[settled])]
-        rest = ~settled
-        found += _repeats(doc[rest], begin[rest], size[rest], ragged(text, place[rest], size[rest]), width)
+        # equal windows have one key: stretches of keys are searched one after the other
+        cuts = np.flatnonzero(np.r_[True, key[keep][1:] != key[keep][:-1], True])
+        filled = np.r_[0, np.cumsum(size[keep])]
+        found, at = [(doc[:0], begin[:0], begin[:0])], 0
+        while at < len(cuts) - 1:
+            end = max(at + 1, int(np.searchsorted(filled[cuts], filled[cuts[at]] + STRETCH_BYTES, "right")) - 1)
+            mine = keep[cuts[at]:cuts[end]]
+            mine = mine[np.argsort(doc[mine], kind="stable")]
+            found += _in_stretch(key[mine], doc[mine], begin[mine], size[mine], ragged(text, place[mine], size[mine]), width)
+            at = end
         d, b, e = _merged(*(np.concatenate([x[i] for x in found]) for i in range(3)))
-        del bucket
         return pa.Table.from_batches([_span_batch(d, b, e, parts, pack)])
     return run
 
