@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 
 
 def minor_units(amount: Column, decimals: int = 2) -> Column:
-    return F.rint(amount * float(10 ** decimals)).cast("long")
+    """Whole minor units; an amount that is not whole in them fails the query, and is never rounded away."""
+    scaled = amount * float(10 ** decimals)
+    whole = F.abs(scaled - F.rint(scaled)) <= F.lit(1e-6) + F.abs(scaled) * F.lit(1e-13)
+    message = F.concat(F.lit("amount is not whole in minor units: "), amount.cast("string"))
+    return F.when(amount.isNull() | whole, F.rint(scaled).cast("long")).otherwise(F.raise_error(message).cast("long"))
 
 
 def from_minor_units(units: Column, decimals: int = 2) -> Column:

@@ -13,18 +13,18 @@ BROADCAST_BYTES = 64 << 20
 
 # Rows of one key that a single task of a shuffled join may hold.
 HOT_ROWS = 1_000_000
-MAX_SALT = 4096
+SALT_SEED = 17
 
 
 def measured_bytes(df: DataFrame) -> int:
-    """Size of the rows, measured by one aggregation: widths, text and array lengths."""
+    """Size of the rows, measured by one aggregation: widths, text lengths, nested values as JSON."""
     fixed, variable = 0, [F.lit(0).cast("long")]
     for field in df.schema.fields:
         column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.StringType, T.BinaryType)):
             variable.append(F.coalesce(F.octet_length(column), F.lit(0)).cast("long"))
-        elif isinstance(field.dataType, T.ArrayType):
-            variable.append(F.greatest(F.size(column), F.lit(0)).cast("long") * 8)
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            variable.append(F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)).cast("long"))
         fixed += 16
     per_row = reduce(lambda a, b: a + b, variable) + fixed
     return df.agg(F.coalesce(F.sum(per_row), F.lit(0))).first()[0]
@@ -57,14 +57,11 @@ def salted_join(facts: DataFrame, dimension: DataFrame, on: str, how: str = "lef
     """
     hot = (facts.groupBy(on).agg(F.count(F.lit(1)).alias("__size"))
            .where((F.col("__size") >= hot_rows) & F.col(on).isNotNull())
-           .select(on, F.least(F.lit(MAX_SALT), F.ceil(F.col("__size") / hot_rows) + 1)
-                   .cast("int").alias("__salts")))
+           .select(on, (F.ceil(F.col("__size") / hot_rows) + 1).cast("int").alias("__salts")))
     salts = F.coalesce(F.col("__salts"), F.lit(1))
-    # A row's salt comes from its content, so a task that runs again repeats it.
-    content = F.xxhash64(*[F.col(f"`{f.name}`") for f in facts.schema.fields
-                           if not isinstance(f.dataType, T.MapType)])
-    spread = (facts.join(F.broadcast(hot), on, "left")
-              .withColumn("__salt", F.pmod(content, salts).cast("int")).drop("__salts"))
+    # Seeded: equal rows get different salts, and a task that runs again over the same rows repeats them.
+    spread = (facts.withColumn("__draw", F.rand(SALT_SEED)).join(F.broadcast(hot), on, "left")
+              .withColumn("__salt", F.floor(F.col("__draw") * salts).cast("int")).drop("__salts", "__draw"))
     copies = (dimension.join(F.broadcast(hot), on, "left")
               .withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts"))
     return spread.join(copies, [on, "__salt"], how).drop("__salt")

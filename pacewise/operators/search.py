@@ -10,10 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pacewise.operators.joins import measured_bytes
+from pacewise.session import reliable
 
 # References up to this measured size are sent to every task as one matrix.
 MATRIX_BYTES = 32 << 20
 
+# Scores that a task holds at a time.
+SCORE_BYTES = 64 << 20
+
 # Queries that meet a block of references in one group, where there are more.
 QUERIES_PER_GROUP = 100_000
 
@@ -43,10 +47,11 @@ def best_matches(queries: DataFrame, references: DataFrame, key: str, vector: st
     chosen = references.select(F.col("id").cast("string").alias("id"),
                                F.col("ord").cast("long").alias("ord"),
                                F.col("vector").cast("array<double>").alias("vector"))
+    chosen = reliable(chosen)  # an embedder among its columns runs once
     size = measured_bytes(chosen)
     if size > matrix_bytes:
         return _block_search(queries, chosen, key, vector, k, math.ceil(size / matrix_bytes))
-    rows = chosen.orderBy("ord").toArrow()
+    rows = chosen.toArrow().sort_by("ord")
     if rows.num_rows == 0:
         return queries.withColumn("hits", F.array().cast(f"array<{HIT}>"))
     return queries.withColumn("hits", _matrix_udf(_ReferenceSet(rows), k)(F.col(vector)))
@@ -96,20 +101,26 @@ class _ReferenceSet:
         filled = vectors.drop_null()
         if len(filled) == 0:
             return pa.array([[]] * len(vectors), pa.list_(_HIT_TYPE))
-        flat = filled.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        scores = flat.reshape(len(filled), -1) @ self.matrix.T
+        flat = filled.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(filled), -1)
+        # Queries in chunks, so that a chunk's scores stay small whatever the number of references.
+        step = max(1, SCORE_BYTES // (8 * len(self.ids)))
+        found = [self._best_of(flat[i:i + step], kept) for i in range(0, len(flat), step)]
+        picked = np.concatenate([f[0] for f in found])
+        hits = pa.StructArray.from_arrays([
+            pa.array(self.ids[picked], pa.string()), pa.array(np.concatenate([f[1] for f in found])),
+            pa.array(self.orders[picked])], fields=list(_HIT_TYPE))
+        offsets = np.concatenate([[0], np.cumsum(np.where(present, kept, 0))])
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), hits)
+
+    def _best_of(self, queries: np.ndarray, kept: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and scores of the best references, row after row."""
+        scores = queries @ self.matrix.T
         if kept == 1:
             # argmax takes the first of equal scores.
             order = scores.argmax(axis=1)[:, None]
         else:
             order = np.argsort(-scores, axis=1, kind="stable")[:, :kept]
-        picked = order.ravel()
-        hits = pa.StructArray.from_arrays([
-            pa.array(self.ids[picked], pa.string()),
-            pa.array(np.take_along_axis(scores, order, 1).ravel()),
-            pa.array(self.orders[picked])], fields=list(_HIT_TYPE))
-        offsets = np.concatenate([[0], np.cumsum(np.where(present, kept, 0))])
-        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), hits)
+        return order.ravel(), np.take_along_axis(scores, order, 1).ravel()
 
 
 def _matrix_udf(references: _ReferenceSet, k: int):

@@ -105,8 +105,11 @@ def in_arrival_order(featured: DataFrame) -> DataFrame:
 
 
 def _units(decimals: int) -> str:
-    """The amount in whole minor units."""
-    return f"CAST(rint(amount * {10 ** decimals}D) AS BIGINT)"
+    """The amount in whole minor units; as :func:`pacewise.functions.money.minor_units`, others fail the query."""
+    scaled = f"(amount * {10 ** decimals}D)"
+    return (f"CASE WHEN amount IS NULL OR abs({scaled} - rint({scaled})) <= 1e-6D + abs({scaled}) * 1e-13D "
+            f"THEN CAST(rint({scaled}) AS BIGINT) "
+            "ELSE CAST(raise_error(concat('amount is not whole in minor units: ', CAST(amount AS STRING))) AS BIGINT) END")
 
 
 def _over(name: str, weights: Sequence[str], frame: str) -> list[str]:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from pacewise.operators.aggregates import scored_summary
 from pacewise.operators.auc import area_under_roc
-from pacewise.operators.sampling import bottom_k, sampled_features
+from pacewise.operators.sampling import SAMPLE_CAP, bottom_k, sampled_features
 from pacewise.operators.text import fuse
-from pacewise.operators.training import (LogisticModel, Standardizer, auc_lift, fit, fit_converged,
+from pacewise.operators.training import (LogisticModel, Standardizer, auc_lift, backfill_auc, fit, fit_converged,
                                          in_sample_auc, standardizer_table)
 from pacewise.operators.velocity import FEATURES, features
 from pacewise.plans.registry import TXN, event_rows, features_sql, query, table
@@ -22,7 +22,8 @@ FIXED = LogisticModel(
     mean=(2.0, 100.0, 40.0, 80.0, 1.5), std=(1.5, 90.0, 35.0, 60.0, 2.0),
     weights=(0.4, -0.3, 0.25, 0.2, 1.1), bias=-1.0)
 
-GD_EPOCHS, GD_RATE = 4, 0.5
+# Epochs and rate of the fit.
+GD_EPOCHS, GD_RATE = 300, 0.2
 
 
 def logit_sql(model: LogisticModel = FIXED) -> str:
@@ -40,7 +41,8 @@ def uniform_sample(spark: SparkSession, sf: str) -> DataFrame:
     return bottom_k(event_rows(spark, sf), 1000).select("seq", "account", "amount")
 
 
-@query("uniform_sample_below_cap", f"WITH {TXN} SELECT seq, account, amount FROM txn")
+@query("uniform_sample_below_cap", f"""WITH {TXN} SELECT seq, account, amount FROM txn
+ORDER BY md5('7:' || seq), seq LIMIT {SAMPLE_CAP}""")
 def uniform_sample_below_cap(spark: SparkSession, sf: str) -> DataFrame:
     return bottom_k(event_rows(spark, sf)).select("seq", "account", "amount")
 
@@ -122,33 +124,32 @@ def auc_of_documents(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded_auc(area_under_roc(rows, "n_chars", "toxic"))
 
 
+# The training sample; a bound on the rows that fit, never on those that are scored.
+SAMPLE_SQL = f"samp AS (SELECT * FROM {{0}} ORDER BY md5('7:' || seq), seq LIMIT {SAMPLE_CAP})"
+
+
 def gradient_sql(names=FEATURES, epochs: int = GD_EPOCHS, rate: float = GD_RATE,
-                 source: str = "feat", tag: str = "d") -> str:
-    """CTEs of gradient descent, a pair per epoch; the weights end in ``<tag>_w<epochs>``."""
+                 source: str = "samp", tag: str = "d") -> str:
+    """Recursive CTEs of gradient descent, one row of weights per epoch; the last is ``<tag>_w``."""
     ids = range(len(names))
-    parts = [f"{tag}_st AS (SELECT " + ", ".join(
-        f"avg({n}) AS m{i}, greatest(stddev_pop({n}), 1e-9) AS d{i}" for i, n in enumerate(names))
+    dot = " + ".join(f"z{i} * w{i}" for i in ids)
+    return ", ".join([
+        f"{tag}_st AS (SELECT " + ", ".join(f"avg({n}) AS m{i}, greatest(stddev_pop({n}), 1e-9) AS d{i}" for i, n in enumerate(names))
         + f" FROM {source})",
-        f"{tag}_z AS (SELECT " + ", ".join(f"({n} - m{i}) / d{i} AS z{i}" for i, n in enumerate(names))
+        f"{tag}_z AS MATERIALIZED (SELECT " + ", ".join(f"({n} - m{i}) / d{i} AS z{i}" for i, n in enumerate(names))
         + f", CAST(isFraud AS DOUBLE) AS y FROM {source}, {tag}_st)",
-        f"{tag}_w0 AS (SELECT " + ", ".join(f"CAST(0 AS DOUBLE) AS w{i}" for i in ids)
-        + ", CAST(0 AS DOUBLE) AS b)"]
-    dot = " + ".join(f"z{i} * w{i}" for i in ids)
-    for e in range(epochs):
-        w = f"{tag}_w{e}"
-        parts.append(f"{tag}_e{e} AS (SELECT {tag}_z.*, 1 / (1 + exp(-({dot} + b))) - y AS err "
-                     f"FROM {tag}_z, {w})")
-        parts.append(f"{tag}_w{e + 1} AS (SELECT " + ", ".join(
-            f"(SELECT w{i} FROM {w}) - {rate}::DOUBLE * avg(err * z{i}) AS w{i}" for i in ids)
-            + f", (SELECT b FROM {w}) - {rate}::DOUBLE * avg(err) AS b FROM {tag}_e{e})")
-    return ", ".join(parts)
+        f"{tag}_steps AS (SELECT 0 AS epoch, " + ", ".join(f"CAST(0 AS DOUBLE) AS w{i}" for i in ids) + ", CAST(0 AS DOUBLE) AS b "
+        "UNION ALL SELECT epoch + 1, " + ", ".join(f"any_value(w{i}) - {rate}::DOUBLE * avg(err * z{i})" for i in ids)
+        + f", any_value(b) - {rate}::DOUBLE * avg(err) FROM (SELECT *, 1 / (1 + exp(-({dot} + b))) - y AS err "
+        f"FROM {tag}_z, {tag}_steps WHERE epoch < {epochs}) GROUP BY epoch)",
+        f"{tag}_w AS (SELECT * FROM {tag}_steps WHERE epoch = {epochs})"])
 
 
 _WEIGHTS = [f"w{i}" for i in range(len(FEATURES))] + ["b"]
 
 
-@query("fit_gradient_descent", f"WITH {features_sql()}, {gradient_sql()} SELECT "
-       + ", ".join(f"round({w}, 6) AS {w}" for w in _WEIGHTS) + f" FROM d_w{GD_EPOCHS}")
+@query("fit_gradient_descent", f"WITH RECURSIVE {features_sql()}, {SAMPLE_SQL.format('feat')}, {gradient_sql()} SELECT "
+       + ", ".join(f"round({w}, 6) AS {w}" for w in _WEIGHTS) + " FROM d_w")
 def fit_gradient_descent(spark: SparkSession, sf: str) -> DataFrame:
     model = fit(sampled_features(event_rows(spark, sf)), epochs=GD_EPOCHS, lr=GD_RATE)
     values = [*model.weights, model.bias]
@@ -174,31 +175,46 @@ def sampled_feature_rows(spark: SparkSession, sf: str) -> DataFrame:
         "seq", "velocity_count", "window_sum", "window_max")
 
 
-@query("backfill_train_auc")
-def backfill_train_auc(spark: SparkSession, sf: str) -> DataFrame:
-    """Features, sample, fit, score and AUC over the history."""
-    sample = _training_rows(spark, sf)
-    return in_sample_auc(fit_converged(sample), sample)
+def score_sql(names, rows: str, sample: str, tag: str) -> str:
+    """CTE ``<tag>_scored (y, s)``: scores of ``rows`` by gradient descent on ``sample``."""
+    dot = " + ".join(f"({n} - m{i}) / d{i} * w{i}" for i, n in enumerate(names))
+    return (f"{gradient_sql(names, GD_EPOCHS, GD_RATE, sample, tag)}, {tag}_scored AS "
+            f"(SELECT isFraud AS y, 1 / (1 + exp(-({dot} + b))) AS s FROM {rows}, {tag}_st, {tag}_w)")
+
 
+def _descent(sample: DataFrame, names=FEATURES, label: str = "isFraud") -> LogisticModel:
+    return fit(sample, names, label, epochs=GD_EPOCHS, lr=GD_RATE)
 
-def score_sql(names, epochs: int, source: str, tag: str) -> str:
-    """CTE ``<tag>_scored (y, s)``: in-sample scores after gradient descent."""
-    chain = gradient_sql(names, epochs, GD_RATE, source, tag)
-    dot = " + ".join(f"z{i} * w{i}" for i in range(len(names)))
-    return (f"{chain}, {tag}_scored AS (SELECT {tag}_z.y, 1 / (1 + exp(-({dot} + b))) AS s "
-            f"FROM {tag}_z, {tag}_w{epochs})")
 
+_BACKFILL_SQL = f"""WITH RECURSIVE {features_sql()}, {SAMPLE_SQL.format('feat')}, {score_sql(FEATURES, 'feat', 'samp', 'g')},
+inside AS (SELECT s, y FROM (SELECT isFraud AS y, seq, 1 / (1 + exp(-({" + ".join(
+    f"({n} - m{i}) / d{i} * w{i}" for i, n in enumerate(FEATURES))} + b))) AS s FROM samp, g_st, g_w)),
+{auc_ctes('g_scored', 's', 'y', 'all')}, {auc_ctes('inside', 's', 'y', 'in')}
+SELECT (SELECT pos FROM all_sums) AS positives, (SELECT neg FROM all_sums) AS negatives,
+  round(({auc_value('all')}), 4) AS auc, round(({auc_value('in')}), 4) AS auc_in_sample"""
 
-def _descent(sample: DataFrame, names, label: str = "isFraud") -> LogisticModel:
-    return fit(sample, names, label, epochs=GD_EPOCHS, lr=GD_RATE)
+
+@query("backfill_train_auc", _BACKFILL_SQL)
+def backfill_train_auc(spark: SparkSession, sf: str) -> DataFrame:
+    """Features, fit on the sample, scores and AUC over the whole history."""
+    history, sample = features(event_rows(spark, sf)), _training_rows(spark, sf)
+    found = backfill_auc(_descent(sample), history, sample)
+    return found.withColumns({c: F.round(c, 4) for c in ("auc", "auc_in_sample")})
+
+
+@query("backfill_converged_auc")
+def backfill_converged_auc(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the converged fit."""
+    sample = _training_rows(spark, sf)
+    return backfill_auc(fit_converged(sample), features(event_rows(spark, sf)), sample)
 
 
-@query("backfill_descent_auc", f"WITH {features_sql()}, {score_sql(FEATURES, GD_EPOCHS, 'feat', 'g')}, "
-       + auc_sql("g_scored", "s", "y", 4))
+@query("backfill_descent_auc", f"""WITH RECURSIVE {features_sql()}, {SAMPLE_SQL.format('feat')},
+{score_sql(FEATURES, 'samp', 'samp', 'g')}, """ + auc_sql("g_scored", "s", "y", 4))
 def backfill_descent_auc(spark: SparkSession, sf: str) -> DataFrame:
-    """The backfill with a few epochs of gradient descent, which SQL can repeat."""
+    """The AUC on the rows of the fit."""
     sample = _training_rows(spark, sf)
-    return in_sample_auc(_descent(sample, FEATURES), sample).withColumn("auc", F.round("auc", 4))
+    return in_sample_auc(_descent(sample), sample).withColumn("auc", F.round("auc", 4))
 
 
 def _fused_sample(spark: SparkSession, sf: str) -> DataFrame:
@@ -215,9 +231,9 @@ def auc_lift_of_text(spark: SparkSession, sf: str) -> DataFrame:
     return auc_lift(_fused_sample(spark, sf), FEATURES, EXTENDED)
 
 
-@query("auc_lift_of_text_descent", f"""WITH {features_sql()}, {TYPE_SCORES},
-fused AS (SELECT feat.*, best.score AS text_similarity FROM feat JOIN best ON best.text = feat.merchant),
-{score_sql(FEATURES, GD_EPOCHS, 'fused', 'g')}, {score_sql(EXTENDED, GD_EPOCHS, 'fused', 'h')},
+@query("auc_lift_of_text_descent", f"""WITH RECURSIVE {features_sql()}, {SAMPLE_SQL.format('feat')}, {TYPE_SCORES},
+fused AS (SELECT samp.*, best.score AS text_similarity FROM samp JOIN best ON best.text = samp.merchant),
+{score_sql(FEATURES, 'fused', 'fused', 'g')}, {score_sql(EXTENDED, 'fused', 'fused', 'h')},
 {auc_ctes('g_scored', 's', 'y', 'ga')}, {auc_ctes('h_scored', 's', 'y', 'ha')},
 both_auc AS (SELECT ({auc_value('ga')}) AS a, ({auc_value('ha')}) AS b)
 SELECT round(a, 4) AS auc_base, round(b, 4) AS auc_extended, round(b - a, 4) AS lift,

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from pacewise.operators.compare import feature_fingerprint, same_fingerprint
 from pacewise.operators.ordering import range_bounds
-from pacewise.operators.training import LogisticModel, fit_converged
+from pacewise.operators.training import LogisticModel, fit
 from pacewise.operators.sampling import sampled_features
-from pacewise.operators.velocity import features
-from pacewise.plans.models import FIXED, SCORED
-from pacewise.plans.registry import TXN, event_rows, query, table
+from pacewise.operators.velocity import FEATURES, features
+from pacewise.plans.models import FIXED, GD_EPOCHS, GD_RATE, SAMPLE_SQL, SCORED, score_sql
+from pacewise.plans.registry import TXN, event_rows, features_sql, query, table
 from pacewise.plans.windows import VELOCITY_SQL, rounded
 from pacewise.session import shared_dir
 from pacewise.sources.landing import live_transactions
@@ -78,13 +78,17 @@ def live_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return _live(spark, sf, FIXED).select("seq", F.round("p", 6).alias("p"), "flagged")
 
 
-@query("train_then_score_live")
+_SCORED_LIVE = score_sql(FEATURES, "feat", "samp", "g").replace("SELECT isFraud AS y,", "SELECT seq,")
+
+
+@query("train_then_score_live", f"""WITH RECURSIVE {features_sql()}, {SAMPLE_SQL.format('feat')}, {_SCORED_LIVE}
+SELECT seq, round(s, 5) AS p, s > 0.5 AS flagged FROM g_scored""")
 def train_then_score_live(spark: SparkSession, sf: str) -> DataFrame:
     """Fit on the history, keep the model as a file, load it for the stream."""
     path = shared_dir(spark, "model")
-    fit_converged(sampled_features(event_rows(spark, sf))).save(spark, path)
+    fit(sampled_features(event_rows(spark, sf)), epochs=GD_EPOCHS, lr=GD_RATE).save(spark, path)
     scored = _live(spark, sf, LogisticModel.load(spark, path))
-    return scored.select("seq", "p", "flagged")
+    return scored.select("seq", F.round("p", 5).alias("p"), "flagged")
 
 
 @query("stream_running_stats", """SELECT count(value) AS count,

@@ -48,6 +48,18 @@ def arrow_stream_rows_written(spark: SparkSession, sf: str) -> DataFrame:
     return spark.range(1).select(F.lit(written).cast("long").alias("rows_written"))
 
 
+@query("arrow_stream_followed", f"WITH {TXN} SELECT {_ROW} FROM txn")
+def arrow_stream_followed(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream over Arrow files that are appended between its runs, one restart after each."""
+    root = shared_dir(spark, "arrow-followed")
+    for part in range(3):
+        arrow_stream.write(event_rows(spark, sf).where(F.col("seq") % 3 == part), f"{root}/landed")
+        stream = arrow_stream.follow(spark, f"{root}/landed")
+        (stream.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint")
+         .trigger(availableNow=True).start(f"{root}/taken").awaitTermination())
+    return spark.read.schema(stream.schema).parquet(f"{root}/taken")
+
+
 @query("live_intake", f"""WITH {TXN} SELECT account, count(*) AS n, max(seq) AS last_seq
 FROM txn GROUP BY account""")
 def live_intake(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,19 +75,21 @@ def live_intake(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("paysim_csv_rows", """SELECT o_custkey AS account,
   CAST(epoch_us(o_orderdate) // 86400000000 AS INTEGER) AS step, o_totalprice AS amount,
-  CAST(o_orderstatus = 'F' AS TINYINT) AS isFraud FROM orders""")
+  CAST(o_orderstatus = 'F' AS TINYINT) AS isFraud, row_number() OVER (ORDER BY o_orderkey) - 1 AS seq FROM orders""")
 def paysim_csv_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders written in the layout of the PaySim CSV and read back."""
+    """Orders written in the layout of the PaySim CSV, as files of uneven size, and read back in order."""
     path = shared_dir(spark, "paysim")
     zero = F.lit(0.0)
     (order_rows(spark, sf).join(table(spark, sf, "orders"), F.col("seq") == F.col("o_orderkey"))
+     .withColumn("file", F.when(F.col("seq") < 100, 0).otherwise(1))
+     .repartitionByRange(2, "file").sortWithinPartitions("file", "seq")
      .select("step", F.lit("PAYMENT").alias("type"), "amount",
              F.concat(F.lit("C"), "account").alias("nameOrig"), zero.alias("oldbalanceOrg"),
              zero.alias("newbalanceOrig"), F.lit("M1").alias("nameDest"), zero.alias("oldbalanceDest"),
              zero.alias("newbalanceDest"), (F.col("o_orderstatus") == "F").cast("int").alias("isFraud"),
              F.lit(0).alias("isFlaggedFraud"))
      .write.csv(path, header=True))
-    return read_paysim(spark, path).select("account", "step", "amount", "isFraud")
+    return read_paysim(spark, path).select("account", "step", "amount", "isFraud", "seq")
 
 
 # --- comparisons ----------------------------------------------------------------

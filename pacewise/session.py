@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -39,13 +42,18 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     The folder named in ``spark.checkpoint.dir`` is visible to every executor.
     Only where it is unset, as in local tests, a temporary folder stands in.
     """
-    root = spark.conf.get(CHECKPOINT_DIR, None) or _stand_in(spark.sparkContext.applicationId)
+    root = spark.conf.get(CHECKPOINT_DIR, None) or _stand_in(spark.sparkContext.applicationId, spark.sparkContext.master)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
 @cache
-def _stand_in(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"pacewise-{application}-")
+def _stand_in(application: str, master: str) -> str:
+    """A temporary folder that goes when Python ends. Executors of a cluster would not see it, so there it is refused."""
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share; the master is {master}")
+    folder = tempfile.mkdtemp(prefix=f"pacewise-{application}-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def reliable(df):

@@ -26,6 +26,7 @@ SUMMARY = "_SUCCESS"
 # Rows per record batch on writing, unless the option ``batch_size`` says otherwise.
 BATCH_ROWS = 65_536
 SPLIT_BYTES = 128 << 20
+GRACE_SECONDS = 86_400
 
 
 def register(spark: SparkSession) -> None:
@@ -34,12 +35,19 @@ def register(spark: SparkSession) -> None:
 
 def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
     register(spark)
-    return spark.read.format(FORMAT).options(**options).load(path)
+    return spark.read.format(FORMAT).options(**options).load(qualified(spark, path))
+
+
+def follow(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """The files under ``path`` as a stream."""
+    register(spark)
+    return spark.readStream.format(FORMAT).options(**options).load(qualified(spark, path))
 
 
 def write(df: DataFrame, path: str, batch_size: int = BATCH_ROWS, mode: str = "append") -> int:
     """Write stream files and return the number of rows written."""
     register(df.sparkSession)
+    path = qualified(df.sparkSession, path)
     df.write.format(FORMAT).option("batch_size", str(batch_size)).mode(mode).save(path)
     system, root = _open(path)
     with system.open_input_stream(f"{root}/{SUMMARY}") as stream:
@@ -52,6 +60,15 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the cluster's default file system, if it has none."""
+    if "://" in path or path.startswith("file:"):
+        return path
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(target).toString().replace("file:/", "file:///", 1).replace("file://///", "file:///")
+
+
 def _files(path: str) -> list[pafs.FileInfo]:
     """Stream files under ``path``, or the file itself, ordered by name."""
     system, root = _open(path)
@@ -122,30 +139,71 @@ class ArrowStreamReader(DataSourceReader):
 
 
 class ArrowStreamFollower(DataSourceStreamReader):
-    """Each new file is read once, in the order of names; the offset counts files."""
+    """Each file is read once, oldest first, whatever its name.
+
+    An offset is the newest modification time taken and the names taken in the ``grace`` before it. A file
+    is new if it is younger than that, or within the grace and not named, so a file that appears with a smaller name or
+    that a slow job moved into place later is still read. One that appears with a time older than the grace
+    (a day unless the option ``grace_seconds`` says otherwise) is not.
+
+    ``files_per_trigger`` bounds a micro-batch. Spark does not tell a reader that starts again where it stopped, so
+    this needs ``progress``, a folder of this stream alone, where the reader notes what it handed out.
+    """
 
     def __init__(self, schema, options) -> None:
         self.wanted = to_arrow_schema(schema)
         self.path = options["path"]
         self.width = int(options.get("split_bytes", SPLIT_BYTES))
         self.limit = int(options.get("files_per_trigger", 0))
-        self.planned = 0
+        self.grace = int(float(options.get("grace_seconds", GRACE_SECONDS)) * 1e9)
+        self.progress = options.get("progress")
+        if self.limit and not self.progress:
+            raise ValueError("files_per_trigger needs the option progress, a folder of this stream alone")
+        self.taken: dict | None = None
+
+    def _noted(self) -> dict:
+        """What was handed out last, also by a reader before this one."""
+        if self.taken is None and self.limit:
+            system, root = _open(self.progress)
+            if system.get_file_info(f"{root}/taken.json").type == pafs.FileType.File:
+                with system.open_input_stream(f"{root}/taken.json") as source:
+                    self.taken = json.loads(source.read())
+        return self.taken or {"time": 0, "names": {}}
+
+    def _note(self, offset: dict) -> None:
+        self.taken = offset
+        if self.limit:
+            system, root = _open(self.progress)
+            system.create_dir(root, recursive=True)
+            with system.open_output_stream(f"{root}/taken.tmp") as sink:
+                sink.write(json.dumps(offset).encode())
+            system.move(f"{root}/taken.tmp", f"{root}/taken.json")
+
+    def _there(self) -> list[pafs.FileInfo]:
+        return sorted(_files(self.path), key=lambda f: (f.mtime_ns, f.path))
+
+    def _has(self, offset: dict, file: pafs.FileInfo) -> bool:
+        return file.mtime_ns <= offset["time"] - self.grace or file.path in offset["names"]
+
+    def _after(self, offset: dict, files: list[pafs.FileInfo]) -> dict:
+        time = max([offset["time"], *(f.mtime_ns for f in files)])
+        names = offset["names"] | {f.path: f.mtime_ns for f in files}
+        return {"time": time, "names": {n: t for n, t in names.items() if t > time - self.grace}}
 
     def initialOffset(self) -> dict:
-        return {"files": 0}
+        return {"time": 0, "names": {}}
 
     def latestOffset(self) -> dict:
-        there = len(_files(self.path))
-        if self.limit:
-            there = min(there, self.planned + self.limit)
-        return {"files": max(there, self.planned)}
+        before = self._noted()
+        new = [f for f in self._there() if not self._has(before, f)]
+        return self._after(before, new[:self.limit] if self.limit else new)
 
     def partitions(self, start: dict, end: dict) -> list[Split]:
-        self.planned = max(self.planned, end["files"])
-        return _splits(_files(self.path)[start["files"]:end["files"]], self.width)
+        self._note(end)
+        return _splits([f for f in self._there() if self._has(end, f) and not self._has(start, f)], self.width)
 
     def commit(self, end: dict) -> None:
-        self.planned = max(self.planned, end["files"])
+        """Nothing to release: files stay where they are."""
 
     def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
         return _read_split(self.path, partition, self.wanted)
@@ -249,13 +307,14 @@ class ArrowStreamWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         system, root = _open(self.path)
         done = [m for m in messages if m is not None]
-        if self.overwrite:
-            for old in _files(self.path):
-                system.delete_file(old.path)
+        before = _files(self.path) if self.overwrite else []
         for message in done:
             final = message.name.rsplit("-", 1)[0] + SUFFIX
             if message.rows or message is done[0]:
                 system.move(f"{self._staging(root)}/{message.name}", f"{root}/{final}")
+        # The new files are in place before the old ones go; names hold the job, so none is overwritten.
+        for old in before:
+            system.delete_file(old.path)
         if system.get_file_info(self._staging(root)).type != pafs.FileType.NotFound:
             system.delete_dir(self._staging(root))
         system.create_dir(root, recursive=True)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pacewise.operators.joins import fits_broadcast
 from pacewise.operators.ordering import with_ordinal
 from pacewise.schema import SEQUENCED, conform
 
@@ -25,16 +26,23 @@ PAYSIM_CSV = T.StructType([
 
 
 def read_paysim(spark: SparkSession, path: str) -> DataFrame:
-    """A PaySim CSV as transactions: the account is the number in ``nameOrig``.
+    """PaySim CSV files as transactions: the account is the number in ``nameOrig``.
 
-    PaySim is one file without row numbers. Spark numbers the splits of a file in
-    their order, so the id of a row rises with its place.
+    The files have no row numbers. ``seq`` counts rows in the order of file names, and inside a file by place, however
+    Spark packs the splits of the files into tasks.
     """
     raw = spark.read.csv(path, header=True, schema=PAYSIM_CSV, enforceSchema=False)
-    placed = raw.withColumn("place", F.monotonically_increasing_id())
+    placed = raw.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
+                        F.monotonically_increasing_id().alias("__id"))
+    # One row per split. The rows of a split lie together in one task.
+    splits = placed.groupBy("__file", "__block").agg(F.count(F.lit(1)).alias("__rows"), F.min("__id").alias("__first"))
+    before = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("__file", "__block", "__first", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
+    numbered_rows = (placed.join(F.broadcast(starts) if fits_broadcast(starts) else starts, ["__file", "__block"])
+                     .withColumn("place", F.col("__start") + F.col("__id") - F.col("__first")))
     account = F.regexp_extract("nameOrig", r"(\d+)", 1).cast("long")
-    return conform(placed, {"account": account, "merchant": F.coalesce(F.col("nameDest"), F.lit("")),
-                            "seq": F.col("place")})
+    return conform(numbered_rows, {"account": account, "merchant": F.coalesce(F.col("nameDest"), F.lit("")),
+                                   "seq": F.col("place")})
 
 
 def numbered(rows: DataFrame) -> DataFrame:
@@ -42,7 +50,10 @@ def numbered(rows: DataFrame) -> DataFrame:
     return with_ordinal(rows, "seq", "__ordinal").withColumn("seq", F.col("__ordinal")).drop("__ordinal")
 
 
-def live_transactions(spark: SparkSession, path: str, files_per_trigger: int | None = None,
+FILES_PER_TRIGGER = 1000
+
+
+def live_transactions(spark: SparkSession, path: str, files_per_trigger: int | None = FILES_PER_TRIGGER,
                       bytes_per_trigger: str | None = None, fmt: str = "parquet",
                       schema: T.StructType = SEQUENCED) -> DataFrame:
     """Transactions as a stream of the files that land under ``path``.

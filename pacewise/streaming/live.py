@@ -26,15 +26,15 @@ FEATURE_SCHEMA = (f"{ROW_SCHEMA}, velocity_count long, window_sum double, window
 class LiveFeatures:
     """A ``foreachBatch`` function; its state and output lie below ``root``.
 
-    Rows with a step more than ``lateness`` below the largest step of earlier batches
+    Rows with a step more than ``lateness`` (one window by default) below the largest step of earlier batches
     are late. They go to the late table and are counted, and have no effect on others.
     With a ``model``, rows also get a probability ``p`` and ``flagged``.
     """
 
-    def __init__(self, spark: SparkSession, root: str, window: int = WINDOW_STEPS, lateness: int = 0,
+    def __init__(self, spark: SparkSession, root: str, window: int = WINDOW_STEPS, lateness: int | None = None,
                  model: LogisticModel | None = None, threshold: float = 0.5,
                  hot_rows: int | None = HOT_ROWS) -> None:
-        self.window, self.lateness = window, lateness
+        self.window, self.lateness = window, window if lateness is None else lateness
         self.model, self.threshold, self.hot_rows = model, threshold, hot_rows
         scored = "" if model is None else ", p double, flagged boolean"
         self.output = BatchLog(spark, f"{root}/features", FEATURE_SCHEMA + scored)

@@ -82,7 +82,7 @@ def test_files_as_a_stream(spark, rows, path, tmp_path):
     arrow_stream.write(rows.repartition(4), path)
 
     def take():
-        stream = spark.readStream.format("arrow_stream").option("files_per_trigger", "2").load(path)
+        stream = spark.readStream.format("arrow_stream").option("files_per_trigger", "2").option("progress", str(tmp_path / "p")).load(path)
         query = (stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c"))
                  .trigger(processingTime="0 seconds").start(str(tmp_path / "out")))
         query.processAllAvailable()
@@ -123,3 +123,56 @@ def test_numbered(spark, rows):
 def test_publish(spark, rows):
     assert publish(rows, "rows_view").count() == rows.count()
     assert conform(spark.table("rows_view"), schema=TRANSACTIONS).columns == TRANSACTIONS.names
+
+
+@pytest.mark.parametrize("limit", [None, "1"])
+def test_stream_takes_appended_files_once(spark, rows, path, tmp_path, limit):
+    """Appends between runs, with names in any order and a restart after each."""
+    def take():
+        stream = arrow_stream.follow(spark, path, **({"files_per_trigger": limit, "progress": str(tmp_path / "p")} if limit else {}))
+        query = (stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c"))
+                 .trigger(processingTime="0 seconds").start(str(tmp_path / "out")))
+        query.processAllAvailable()
+        query.stop()
+
+    for part in range(4):
+        arrow_stream.write(rows.where(f"seq % 5 = {part}").repartition(2), path)
+        take()
+    extra = str(tmp_path / "extra")
+    arrow_stream.write(rows.where("seq % 5 = 4").coalesce(1), extra)
+    os.rename(files_of(extra)[0], f"{path}/aaa-sorts-first{arrow_stream.SUFFIX}")
+    take()
+    take()
+    assert same(spark.read.parquet(str(tmp_path / "out")), rows)
+
+
+def test_a_file_moved_in_late_is_taken(spark, rows, path, tmp_path):
+    slow = str(tmp_path / "slow")
+    arrow_stream.write(rows.where("seq < 100").coalesce(1), slow)
+    os.utime(files_of(slow)[0], (1, os.path.getmtime(files_of(slow)[0]) - 600))
+    for step in range(2):
+        if step:
+            os.rename(files_of(slow)[0], f"{path}/late{arrow_stream.SUFFIX}")
+        else:
+            arrow_stream.write(rows.where("seq >= 100"), path)
+        (arrow_stream.follow(spark, path).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c"))
+         .trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination())
+    assert same(spark.read.parquet(str(tmp_path / "out")), rows)
+
+
+def test_paysim_order_over_files_of_uneven_size(spark, tmp_path):
+    head = ("step,type,amount,nameOrig,oldbalanceOrg,newbalanceOrig,nameDest,oldbalanceDest,newbalanceDest,"
+            "isFraud,isFlaggedFraud\n")
+    sizes = {"part-0.csv": 3, "part-1.csv": 50_000, "part-2.csv": 10}
+    count = 0
+    for name, size in sizes.items():
+        lines = [f"1,PAYMENT,1.0,C{count + i},0.0,0.0,M1,0.0,0.0,0,0\n" for i in range(size)]
+        (tmp_path / name).write_text(head + "".join(lines))
+        count += size
+    width = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300000")
+    try:
+        got = read_paysim(spark, str(tmp_path))
+        assert got.where("seq <> account").isEmpty() and got.count() == count
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", width)
