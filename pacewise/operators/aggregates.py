@@ -11,9 +11,8 @@ from pacewise.functions.money import exact_sum
 from pacewise.functions.predicates import Condition, all_of, flag
 from pacewise.schema import numeric
 
-# Rough bytes that one key keeps in memory: map entry, state record, two arrays
-# of eight slots for step and amount, array headers.
-STATE_BYTES_PER_KEY = 48 + 32 + 8 * (4 + 8) + 64
+# Fixed value: the bytes charged for the state of one key.
+STATE_BYTES_PER_KEY = 240
 
 
 # --- single aggregates; nulls are skipped ------------------------------------

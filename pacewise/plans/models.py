@@ -163,6 +163,19 @@ def fit_to_convergence(spark: SparkSession, sf: str) -> DataFrame:
     return spark.range(1).select(*[F.lit(v).alias(n) for n, v in zip(_WEIGHTS, values)])
 
 
+@query("converged_gradient", "SELECT " + ", ".join(f"CAST(0 AS DOUBLE) AS g_{w}" for w in _WEIGHTS)
+       + " FROM (SELECT count(*) AS n FROM events) WHERE n > 0")
+def converged_gradient(spark: SparkSession, sf: str) -> DataFrame:
+    """The gradient of the mean log-loss at the converged fit, to three decimals: zero at the optimum."""
+    sample = _training_rows(spark, sf)
+    model = fit_converged(sample)
+    scaled = Standardizer(model.names, model.mean, model.std).apply(model.score(sample))
+    off = F.col("p") - F.col("isFraud")
+    parts = [off * F.col(f"z_{n}") for n in model.names] + [off]
+    # abs() turns a negative zero into a zero
+    return scaled.agg(*[F.abs(F.round(F.avg(g), 3)).alias(f"g_{w}") for g, w in zip(parts, _WEIGHTS)])
+
+
 def _training_rows(spark: SparkSession, sf: str) -> DataFrame:
     """The training sample, kept: a fit and its report read it several times."""
     return reliable(sampled_features(event_rows(spark, sf)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pacewise.operators import aggregates as A
 from pacewise.operators import partials as P
-from pacewise.operators.quantiles import approximate, nearest_rank
+from pacewise.operators.quantiles import LATENCY_QUANTILES, approximate, nearest_rank
 from pacewise.plans.registry import TXN, event_rows, query, table
 
 _NULLED = "CASE WHEN value >= 50 THEN value END"
@@ -212,6 +212,22 @@ def nearest_rank_quantiles_lineitem(spark: SparkSession, sf: str) -> DataFrame:
     return nearest_rank(table(spark, sf, "lineitem"), "l_extendedprice")
 
 
+@query("sketches_within_bounds", """SELECT true AS keys_within, true AS p50_within, true AS p99_within, true AS p999_within
+FROM (SELECT count(DISTINCT user_id) AS n FROM events) WHERE n > 0""")
+def sketches_within_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the sketches of keys and quantiles stay within three times their stated error of the exact figures."""
+    exact, rough = (A.distinct_keys(event_rows(spark, sf), "account", approximate=a).first()[0] for a in (False, True))
+    rows = table(spark, sf, "lineitem").select("l_extendedprice")
+    found = approximate(rows, "l_extendedprice").first()
+    value, bounds = F.col("l_extendedprice"), []
+    for name, q in LATENCY_QUANTILES.items():
+        # the rank of the sketch's value, as the range of ranks its equals take
+        below, upto = F.count_if(value < found[name]), F.count_if(value <= found[name])
+        slack = 1 + 3 * F.count(F.lit(1)) / 10_000
+        bounds.append(((below <= q * F.count(F.lit(1)) + slack) & (upto >= q * F.count(F.lit(1)) - slack)).alias(f"{name}_within"))
+    return rows.agg(F.lit(abs(rough - exact) <= 3 * 0.05 * exact).alias("keys_within"), *bounds)
+
+
 @query("quantile_sketch")
 def quantile_sketch(spark: SparkSession, sf: str) -> DataFrame:
     return approximate(table(spark, sf, "lineitem"), "l_extendedprice")

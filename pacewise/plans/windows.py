@@ -93,6 +93,24 @@ def same_features_two_ways(spark: SparkSession, sf: str) -> DataFrame:
     return C.same_fingerprint(C.feature_fingerprint(plain), C.feature_fingerprint(split))
 
 
+@query("same_features_to_the_last_bit", """SELECT count(*) AS rows_a, count(*) AS rows_b,
+  true AS identical FROM events""")
+def same_features_to_the_last_bit(spark: SparkSession, sf: str) -> DataFrame:
+    plain = features(event_rows(spark, sf), hot_rows=None)
+    split = features(event_rows(spark, sf), hot_rows=64)
+    return C.same_fingerprint(C.exact_feature_fingerprint(plain), C.exact_feature_fingerprint(split))
+
+
+@query("planted_difference_found", """SELECT count(*) AS rows_a, count(*) AS rows_b, false AS identical FROM events""")
+def planted_difference_found(spark: SparkSession, sf: str) -> DataFrame:
+    """One ratio of the table is off by its last bit; the exact fingerprints differ."""
+    plain = features(event_rows(spark, sf))
+    first = event_rows(spark, sf).agg(F.min("seq").alias("seq")).withColumn("off", F.lit(2.0 ** -52))
+    changed = plain.join(F.broadcast(first), "seq", "left").withColumn(  # one row
+        "amount_over_mean", F.col("amount_over_mean") * (1 + F.coalesce("off", F.lit(0.0))))
+    return C.same_fingerprint(C.exact_feature_fingerprint(plain), C.exact_feature_fingerprint(changed))
+
+
 @query("rows_that_differ", f"""WITH {TXN} SELECT merchant, count(*) AS n, 'a' AS side FROM txn
 GROUP BY merchant HAVING count(*) FILTER (isFraud = 1) > 0
 UNION ALL SELECT merchant, count(*) FILTER (isFraud = 0), 'b' FROM txn
