@@ -38,6 +38,7 @@ SAMPLED = 16            # one document in so many tells which shingles are frequ
 FREQUENT = 8            # a shingle seen so often in the sample goes last in the order
 MOST_FREQUENT = 1 << 20  # so many at most; the rest keep their place. Bounds the broadcast to 8 MB
 PIECE = 256             # members or queries of a group that one task holds
+ROUTES = 1000           # tasks that one row of a document's routes names
 BUCKET_ROWS = 400_000   # matrix entries that one task holds
 
 _SKETCH = "doc long, n long, d1 long, d2 long, mins array<long>"
@@ -126,8 +127,11 @@ def _verified(percent: int):
 
 def _linked(documents: DataFrame, routes: DataFrame, words: int, percent: int) -> DataFrame:
     """Verified links ``(a, b)`` along ``routes (doc, grp, piece, part, query)``."""
-    per_doc = reliable(routes.groupBy("doc").agg(F.collect_list(F.struct("grp", "piece", "part", "query")).alias("routes")))
-    sets = (documents.join(small_side(per_doc, 128), "doc").select("doc", "text", "routes")
+    # A document with very many routes has several rows of them.
+    some = ((F.col("piece") + F.col("part")) / ROUTES).cast("int")
+    per_doc = reliable(routes.groupBy("doc", some.alias("some"))
+                       .agg(F.collect_list(F.struct("grp", "piece", "part", "query")).alias("routes")))
+    sets = (documents.join(small_side(per_doc, F.size("routes") * 40 + 64), "doc").select("doc", "text", "routes")
             .mapInArrow(_routed_sets(words), _SET))
     return sets.groupBy("grp", "piece", "part").applyInArrow(_verified(percent), "a long, b long")
 

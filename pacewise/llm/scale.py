@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pacewise.session import reliable
@@ -11,12 +11,14 @@ from pacewise.session import reliable
 BROADCAST_BYTES = 32 << 20
 
 
-def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+def small_side(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` marked for broadcast if its counted rows stay below ``limit``; else unchanged, for a shuffled join.
 
-    ``row_bytes`` is an upper estimate of a row. ``df`` should be checkpointed: it is counted here.
+    ``row_bytes`` is an upper estimate of a row, or a column that computes it. ``df`` should be checkpointed: it is
+    counted here.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    size = F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes
+    return F.broadcast(df) if df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] <= limit else df
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
