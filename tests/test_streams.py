@@ -62,12 +62,14 @@ def test_late_rows_are_kept_apart_and_counted(spark, tmp_path):
     assert found == {1: 0, 2: 0, 4: 2}
 
 
-def test_old_partials_are_evicted(spark, tmp_path):
-    live = LiveFeatures(spark, str(tmp_path), window=3)
+@pytest.mark.parametrize("lateness, oldest", [(0, 8), (None, 6)])
+def test_old_partials_are_evicted(spark, tmp_path, lateness, oldest):
+    """No lateness, and the default of one window."""
+    live = LiveFeatures(spark, str(tmp_path), window=3, lateness=lateness)
     items = [(i, i % 2, i * 2, 1.0) for i in range(8)]
     for i, item in enumerate(items):
         live(made(spark, [item]), i)
-    assert {r.step for r in live.history.read().collect()} <= {8, 10, 12, 14}
+    assert {r.step for r in live.history.read().collect()} <= set(range(oldest, 15, 2))
     assert same(features(made(spark, items), 3), live.output.read().drop("batch_id"))
 
 
