@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pacewise.llm import decontaminate, jaccard, language, mixing, suffixes
 from pacewise.session import shared_dir
 
-LEAST_SCORE = 0.5  # of a language; below it the language is not clear
+LEAST_SCORE = 0.35  # of a language; below it the language is not clear
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
