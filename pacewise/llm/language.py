@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pacewise.llm.words import slices
 from pacewise.session import reliable
 
 UNKNOWN = "und"
@@ -36,7 +37,7 @@ MODEL_WORDS = 100_000
 MODEL_GRAMS = 100_000
 LONGEST = 5
 DISCOUNT = math.log(0.4)
-TASK_ENTRIES = 400_000   # counts a task holds before it hands them on
+TASK_ENTRIES = 150_000   # counts a task holds before it hands them on
 MEMO_WORDS = 200_000
 CHUNK_CHARACTERS = 1 << 20
 
@@ -195,16 +196,17 @@ def predict(documents: DataFrame, model: LanguageModel, keep: tuple[str, ...] =
             names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns ``keep`` of every row, then the predicted language of its text and the score, called ``names``."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    rows = documents.select("text", *[documents[f"`{c}`"] for c in keep])
-    fields = [*rows.schema.fields[1:], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
+    rows = documents.select(*[documents[f"`{c}`"] for c in keep], *(["text"] if "text" not in keep else []))
+    at, width = rows.columns.index("text"), len(keep)
+    fields = [*rows.schema.fields[:width], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
 
     def run(batches):
         learned = shared.value
         memo: dict[str, int] = {}
         scores_of = np.zeros((0, len(learned.languages)))
-        for batch in batches:
+        for batch in slices(batches):
             langs, scores, held, length = [], [], [], 0
-            column = batch.column(0)
+            column = batch.column(at)
             for i, value in enumerate(column):
                 held.append(value.as_py())
                 length += len(held[-1] or "")
@@ -215,8 +217,8 @@ def predict(documents: DataFrame, model: LanguageModel, keep: tuple[str, ...] =
                     langs += some
                     scores += sure
                     held, length = [], 0
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                                             names=[*batch.schema.names[1:], *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                                             names=[*batch.schema.names[:width], *names])
 
     return rows.mapInArrow(run, T.StructType(fields))
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pacewise.llm.words import chunks, mix, powers
+from pacewise.llm.words import chunks, mix, powers, slices
 from pacewise.session import reliable
 
 WIDTH = 50
@@ -326,7 +326,7 @@ def with_spans(documents: DataFrame, spans: DataFrame, id_column: str = "doc_id"
 
 
 def _digests(batches):
-    for batch in batches:
+    for batch in slices(batches):
         out = [[] for _ in range(4)]
         for text, begins, ends in zip(*(batch.column(i) for i in (1, 2, 3))):
             raw = (text.as_py() or "").encode()
@@ -378,7 +378,7 @@ def without_repeats(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     fields = [T.StructField("text", T.StringType()), *rows.schema.fields[3:]]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(0).to_pylist()
             for i, (b, e) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 if b:
