@@ -19,12 +19,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents whose language is clear; those without letters or between languages go."""
     model = language.fit(docs)
     columns = tuple(docs.columns)
-    marked = language.predict(docs.withColumn("__text", F.col("text")), model, tuple(c if c != "text" else "__text" for c in columns),
-                              ("__lang", "__sure"))
+    marked = language.predict(docs, model, columns, ("__lang", "__sure"))
     if not model.languages:  # nothing to learn from: no decision
         return docs
     return (marked.where((F.col("__lang") != language.UNKNOWN) & (F.col("__sure") >= LEAST_SCORE))
-            .withColumnRenamed("__text", "text").select(*columns))
+            .select(*columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
