@@ -39,6 +39,7 @@ FREQUENT = 8            # a shingle seen so often in the sample goes last in the
 MOST_FREQUENT = 1 << 20  # so many at most; the rest keep their place. Bounds the broadcast to 8 MB
 PIECE = 256             # members or queries of a group that one task holds
 ROUTES = 1000           # tasks that one row of a document's routes names
+ENTRY_ROWS = 1 << 18    # matrix entries that a task gathers before it hands them on
 BUCKET_ROWS = 400_000   # matrix entries that one task holds
 
 _SKETCH = "doc long, n long, d1 long, d2 long, mins array<long>"
@@ -233,7 +234,7 @@ def _entries(words: int, percent: int, buckets: int, frequent):
                                         ("e", int(keys[-1]) >> 48), ("size", min(255, sizes[row]))):
                         held[name].append(np.full(len(keys), value))
                     count += len(keys)
-                if count > 2 << 20:
+                if count > ENTRY_ROWS:
                     yield _packed(held, buckets, pack)
                     held, count = {name: [] for name, _ in _FIELDS}, 0
             if count:
@@ -292,7 +293,7 @@ def _meetings(percent: int):
         steps = np.r_[0, np.cumsum(count)]
         at = 0
         while at < len(entry):
-            end = max(at + 1, int(np.searchsorted(steps, steps[at] + (1 << 20), "right")) - 1)
+            end = max(at + 1, int(np.searchsorted(steps, steps[at] + (1 << 19), "right")) - 1)
             c = count[at:end]
             q = np.repeat(entry[at:end], c)
             g = heads[np.repeat(begin[at:end] - (steps[at:end] - steps[at]), c) + np.arange(c.sum())]
