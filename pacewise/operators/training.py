@@ -188,17 +188,27 @@ def backfill_auc(model: LogisticModel, history: DataFrame, sample: DataFrame, la
 LIFT_BAND = 0.0005
 
 
-def auc_lift(sample: DataFrame, base: Sequence[str], extended: Sequence[str], label: str = "isFraud",
-             fitter=fit_converged) -> DataFrame:
-    """One row ``auc_base, auc_extended, lift, verdict`` for two fits on one sample."""
-    parts = []
-    for side, names in (("base", base), ("extended", extended)):
-        result = in_sample_auc(fitter(sample, names, label), sample, label)
-        parts.append(result.select(F.lit(side).alias("side"), "auc"))
+def _lift(models: dict[str, LogisticModel], rows: DataFrame, label: str, tail: str = "") -> DataFrame:
+    """One row ``auc_base, auc_extended, lift, verdict`` over ``rows``; ``tail`` ends the names."""
+    parts = [area_under_roc(model.score(rows), "p", label).select(F.lit(side).alias("side"), "auc") for side, model in models.items()]
     both = parts[0].unionByName(parts[1]).agg(
         F.max(F.when(F.col("side") == "base", F.col("auc"))).alias("auc_base"),
         F.max(F.when(F.col("side") == "extended", F.col("auc"))).alias("auc_extended"))
     lift = F.col("auc_extended") - F.col("auc_base")
     verdict = (F.when(lift > LIFT_BAND, "lifts").when(lift < -LIFT_BAND, "does not lift")
                .otherwise("tied"))
-    return both.select("auc_base", "auc_extended", lift.alias("lift"), verdict.alias("verdict"))
+    return both.select(F.col("auc_base").alias(f"auc_base{tail}"), F.col("auc_extended").alias(f"auc_extended{tail}"),
+                       lift.alias(f"lift{tail}"), verdict.alias(f"verdict{tail}"))
+
+
+def auc_lift(sample: DataFrame, base: Sequence[str], extended: Sequence[str], label: str = "isFraud",
+             fitter=fit_converged, history: DataFrame | None = None) -> DataFrame:
+    """One row ``auc_base, auc_extended, lift, verdict`` for two fits on one sample.
+
+    With a ``history`` these are over all its rows, and those over the sample stand beside them, with
+    ``_in_sample`` after the name; without one they are over the sample.
+    """
+    models = {"base": fitter(sample, base, label), "extended": fitter(sample, extended, label)}
+    if history is None:
+        return _lift(models, sample, label)
+    return _lift(models, history, label).join(F.broadcast(_lift(models, sample, label, "_in_sample")))  # one row each

@@ -235,13 +235,18 @@ def _fused_sample(spark: SparkSession, sf: str) -> DataFrame:
     return reliable(fuse(_training_rows(spark, sf), "merchant", type_scores(spark, sf)))
 
 
+def _fused_history(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows with their features and that similarity, kept: two models score them."""
+    return reliable(fuse(features(event_rows(spark, sf)), "merchant", type_scores(spark, sf)))
+
+
 EXTENDED = (*FEATURES, "text_similarity")
 
 
 @query("auc_lift_of_text")
 def auc_lift_of_text(spark: SparkSession, sf: str) -> DataFrame:
-    """AUC with and without the text feature, both fits converged."""
-    return auc_lift(_fused_sample(spark, sf), FEATURES, EXTENDED)
+    """AUC over the whole history with and without the text feature, both fits converged; in-sample figures beside it."""
+    return auc_lift(_fused_sample(spark, sf), FEATURES, EXTENDED, history=_fused_history(spark, sf))
 
 
 @query("auc_lift_of_text_descent", f"""WITH RECURSIVE {features_sql()}, {SAMPLE_SQL.format('feat')}, {TYPE_SCORES},
@@ -253,5 +258,34 @@ SELECT round(a, 4) AS auc_base, round(b, 4) AS auc_extended, round(b - a, 4) AS
   CASE WHEN b - a > 0.0005 THEN 'lifts' WHEN b - a < -0.0005 THEN 'does not lift' ELSE 'tied' END AS verdict
 FROM both_auc""")
 def auc_lift_of_text_descent(spark: SparkSession, sf: str) -> DataFrame:
+    """The lift on the rows of the fit; ``auc_lift_of_text_history`` has it over all rows."""
     found = auc_lift(_fused_sample(spark, sf), FEATURES, EXTENDED, fitter=_descent)
     return found.select(*[F.round(c, 4).alias(c) for c in ("auc_base", "auc_extended", "lift")], "verdict")
+
+
+def _verdict_sql(lift: str) -> str:
+    return f"CASE WHEN {lift} > 0.0005 THEN 'lifts' WHEN {lift} < -0.0005 THEN 'does not lift' ELSE 'tied' END"
+
+
+def _scores_sql(names, rows: str, tag: str, name: str) -> str:
+    """CTE ``<name> (y, s)``: scores of ``rows`` by the weights that ``gradient_sql`` left under ``tag``."""
+    dot = " + ".join(f"({n} - m{i}) / d{i} * w{i}" for i, n in enumerate(names))
+    return f"{name} AS (SELECT isFraud AS y, 1 / (1 + exp(-({dot} + b))) AS s FROM {rows}, {tag}_st, {tag}_w)"
+
+
+@query("auc_lift_of_text_history", f"""WITH RECURSIVE {features_sql()}, {SAMPLE_SQL.format('feat')}, {TYPE_SCORES},
+fused AS (SELECT samp.*, best.score AS text_similarity FROM samp JOIN best ON best.text = samp.merchant),
+fused_all AS (SELECT feat.*, best.score AS text_similarity FROM feat JOIN best ON best.text = feat.merchant),
+{score_sql(FEATURES, 'fused', 'fused', 'g')}, {score_sql(EXTENDED, 'fused', 'fused', 'h')},
+{_scores_sql(FEATURES, 'fused_all', 'g', 'g_all')}, {_scores_sql(EXTENDED, 'fused_all', 'h', 'h_all')},
+{auc_ctes('g_scored', 's', 'y', 'ga')}, {auc_ctes('h_scored', 's', 'y', 'ha')},
+{auc_ctes('g_all', 's', 'y', 'gw')}, {auc_ctes('h_all', 's', 'y', 'hw')},
+aucs AS (SELECT ({auc_value('gw')}) AS a, ({auc_value('hw')}) AS b, ({auc_value('ga')}) AS c, ({auc_value('ha')}) AS d)
+SELECT round(a, 4) AS auc_base, round(b, 4) AS auc_extended, round(b - a, 4) AS lift, {_verdict_sql('b - a')} AS verdict,
+  round(c, 4) AS auc_base_in_sample, round(d, 4) AS auc_extended_in_sample, round(d - c, 4) AS lift_in_sample,
+  {_verdict_sql('d - c')} AS verdict_in_sample
+FROM aucs""")
+def auc_lift_of_text_history(spark: SparkSession, sf: str) -> DataFrame:
+    """The lift over the whole history by descent on the sample, with the in-sample figures beside it."""
+    found = auc_lift(_fused_sample(spark, sf), FEATURES, EXTENDED, fitter=_descent, history=_fused_history(spark, sf))
+    return found.select(*[c if c.startswith("verdict") else F.round(c, 4).alias(c) for c in found.columns])

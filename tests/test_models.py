@@ -88,3 +88,15 @@ def test_score_is_strictly_above_the_threshold(spark):
 def test_no_rows_to_fit(sample):
     with pytest.raises(ValueError, match="no training rows"):
         fit(sample.where("a > 1e9"), ["a", "b"])
+
+
+def test_lift_over_the_history(sample):
+    part = sample.where("a < 10").persist()
+    row = auc_lift(part, ["a"], ["a", "b"], history=sample).first()
+    for names, whole, inside in ((["a"], row.auc_base, row.auc_base_in_sample), (["a", "b"], row.auc_extended, row.auc_extended_in_sample)):
+        model = fit_converged(part, names)
+        assert whole == pytest.approx(area_under_roc(model.score(sample)).first().auc)
+        assert inside == pytest.approx(area_under_roc(model.score(part)).first().auc)
+        assert whole != pytest.approx(inside, abs=1e-4)
+    assert row.lift == pytest.approx(row.auc_extended - row.auc_base)
+    assert row.lift_in_sample == pytest.approx(row.auc_extended_in_sample - row.auc_base_in_sample)
