@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pacewise.llm import decontaminate, jaccard, language, mixing, passages, quality, rules, suffixes, tokens, warc
+from pacewise.llm import bytebpe, decontaminate, jaccard, language, mixing, passages, quality, rules, suffixes, tokens, warc
 from pacewise.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -242,3 +242,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_substring_chains")
 def op7_substring_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op12_byte_bpe")
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return bytebpe.digests(bytebpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
