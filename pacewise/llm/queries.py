@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pacewise.llm import bytebpe, decontaminate, jaccard, language, mixing, passages, quality, rules, suffixes, tokens, warc
+from pacewise.llm import alignment, bytebpe, decontaminate, jaccard, language, mixing, passages, quality, rules, suffixes, tokens, warc
 from pacewise.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -250,3 +250,12 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     return bytebpe.digests(bytebpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+
+
+@query("op11_tokenizer_alignment")
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    figures, _ = alignment.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                     public_tokenizers.path("piece_bpe_32k.model"))
+    return figures
