@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pacewise.llm.bytebpe import Remembered, Splitter
 from pacewise.llm.words import mix
 from pacewise.session import shared_dir
 
@@ -61,18 +62,20 @@ def _byte_alphabet() -> dict[str, int]:
 class Aligner:
     """Both vocabularies as bytes, and the array from A ids to B ids of the same bytes."""
 
-    def __init__(self, path_a: str, path_b: str):
+    def __init__(self, path_a: str, path_b: str, pattern: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
+        model_a = Tokenizer.from_file(path_a)
+        model_a.encode_special_tokens = True
+        self.a = Remembered(Splitter(pattern),
+                            lambda units: [e.ids for e in model_a.encode_batch_fast(units, add_special_tokens=False)])
         self.b = SentencePieceProcessor(model_file=path_b)
         alphabet = _byte_alphabet()
         with open(path_a, encoding="utf-8") as file:
             model = json.load(file)
-        self.bytes_a = [b""] * self.a.get_vocab_size()
+        self.bytes_a = [b""] * model_a.get_vocab_size()
         for token, i in model["model"]["vocab"].items():
             self.bytes_a[i] = bytes(alphabet[c] for c in token)
         for added in model["added_tokens"]:
@@ -95,14 +98,14 @@ class Aligner:
         a, b = range(len(self.bytes_a)), range(len(self.bytes_b))
         self._written = [*(b"%d," % i for i in a), *(b"%d|" % i for i in a), *(b"%d," % i for i in b), *(b"%d;" % i for i in b)]
 
-    def encode(self, blocks: list[str]) -> list[tuple[list[int], list[int]]]:
-        a = [e.ids for e in self.a.encode_batch_fast([f" {x}" for x in blocks], add_special_tokens=False)]
+    def encode(self, blocks: list[str]) -> list[tuple[np.ndarray, list[int]]]:
+        a = [np.frombuffer(self.a(f" {x}"), "<u4") for x in blocks]
         return list(zip(a, self.b.encode(blocks, num_threads=1)))
 
-    def joins(self, block: str, a: list[int], b: list[int]) -> bool:
+    def joins(self, block: str, a: np.ndarray, b: list[int]) -> bool:
         """Whether the tokens of both are the block with a space before it."""
         want = b" " + block.encode()
-        return b"".join(map(self.bytes_a.__getitem__, a)) == want == b"".join(map(self.bytes_b.__getitem__, b))
+        return b"".join(map(self.bytes_a.__getitem__, a.tolist())) == want == b"".join(map(self.bytes_b.__getitem__, b))
 
     def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The index of the last A and the last B token of every group."""
@@ -125,8 +128,8 @@ class Aligner:
 
 
 @cache
-def aligner(path_a: str, path_b: str) -> Aligner:
-    return Aligner(path_a, path_b)
+def aligner(path_a: str, path_b: str, pattern: str) -> Aligner:
+    return Aligner(path_a, path_b, pattern)
 
 
 def blocks(text: str, size: int):
@@ -171,13 +174,13 @@ class _Text:
         none = np.zeros(0, np.int64)
         self.exact, self.pairs = (none, none), (none, none)
 
-    def add(self, pair: Aligner, block: str, a: list[int], b: list[int]) -> None:
+    def add(self, pair: Aligner, block: str, a: np.ndarray, b: list[int]) -> None:
         if not self.good:
             return
         if not pair.joins(block, a, b):
             self.good = False
             return
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        a, b = a.astype(np.int64), np.array(b, np.int64)
         last_a, last_b = pair.groups(a, b)
         text = pair.written(a, b, last_a, last_b)
         self.sha.update((b";" if self.begun else b"") + text[:-1])
@@ -199,9 +202,9 @@ class _Text:
         return self.n_a, self.n_b, self.n_groups, self.sha.hexdigest(), packed(*self.exact), packed(*self.pairs)
 
 
-def _aligning(path_a: str, path_b: str, size: int):
+def _aligning(path_a: str, path_b: str, pattern: str, size: int):
     def run(batches):
-        pair = aligner(path_a, path_b)
+        pair = aligner(path_a, path_b, pattern)
         for batch in batches:
             texts: list[_Text] = []
             waiting: list[tuple[_Text, str]] = []
@@ -337,27 +340,27 @@ def _rare(shared):
     return run
 
 
-def aligned_texts(documents: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id", text_column: str = "text",
+def aligned_texts(documents: DataFrame, path_a: str, path_b: str, pattern: str, id_column: str = "doc_id", text_column: str = "text",
                   block: int = BLOCK_CHARACTERS) -> DataFrame:
     """Written rows ``(row, doc_id, n_a, n_b, n_groups, groups_sha256, exact, pairs)``, one per text, with its packed links."""
     spark = documents.sparkSession
     path = shared_dir(spark, "aligned")
     (documents.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_column}`").cast("long").alias("doc_id"),
                       F.col(f"`{text_column}`").alias("text"))
-     .mapInArrow(_aligning(path_a, path_b, block), _ALIGNED).write.option("compression", "zstd").parquet(path))
+     .mapInArrow(_aligning(path_a, path_b, pattern, block), _ALIGNED).write.option("compression", "zstd").parquet(path))
     return spark.read.parquet(path)
 
 
-def alignment(documents: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id", text_column: str = "text",
+def alignment(documents: DataFrame, path_a: str, path_b: str, pattern: str, id_column: str = "doc_id", text_column: str = "text",
               frequent: int = FREQUENT, block: int = BLOCK_CHARACTERS) -> tuple[DataFrame, DataFrame]:
     """Figures per text, and the link counts of the corpus.
 
     The first table is ``(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256)``, the second
-    ``(a, b, count)`` with one row per linked pair of ids. Every executor reads both vocabularies.
+    ``(a, b, count)`` with one row per linked pair of ids. ``pattern`` is how A cuts pre-tokens. Every executor reads both vocabularies.
     """
     spark = documents.sparkSession
-    pair = aligner(path_a, path_b)
-    aligned = aligned_texts(documents, path_a, path_b, id_column, text_column, block)
+    pair = aligner(path_a, path_b, pattern)
+    aligned = aligned_texts(documents, path_a, path_b, pattern, id_column, text_column, block)
     path = shared_dir(spark, "link-counts")
     link_counts(aligned, len(pair.bytes_a)).write.parquet(path)
     counts = spark.read.parquet(path)

@@ -257,5 +257,5 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     figures, _ = alignment.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
-                                     public_tokenizers.path("piece_bpe_32k.model"))
+                                     public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
     return figures

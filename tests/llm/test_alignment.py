@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 from pacewise.llm import alignment
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+FILES = A, B, public_tokenizers.PATTERN
 BITS = ["the", " the", " a", "ing", " ", "  ", "\n", "\t", "é", "日本", "!", "123", " Straße", "😀", "x\x00y", " don't", "<s>", "<|endoftext|>", "\r\n"]
 
 
@@ -24,7 +25,7 @@ def plain(texts):
     """Per text (a ids, b ids, groups), by the libraries and a walk over both lists."""
     a_model, b_model = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
     a_model.encode_special_tokens = True
-    pair = alignment.aligner(A, B)
+    pair = alignment.aligner(*FILES)
     out = []
     for text in texts:
         if not text:
@@ -73,7 +74,7 @@ ROWS = [*enumerate([None, "", " ", "a", "x▁y", "▁", "two  words", "\n\n", "u
 
 @pytest.mark.parametrize("frequent, block", [(alignment.FREQUENT, alignment.BLOCK_CHARACTERS), (40, 64), (0, 200)])
 def test_equals_plain_count(docs, frequent, block):
-    figures, links = alignment.alignment(docs(ROWS), A, B, frequent=frequent, block=block)
+    figures, links = alignment.alignment(docs(ROWS), *FILES, frequent=frequent, block=block)
     want, counts = expected(ROWS)
     assert sorted(map(tuple, figures.collect()), key=str) == sorted(want, key=str)
     assert {(r.a, r.b): r["count"] for r in links.collect()} == dict(counts)
@@ -81,12 +82,12 @@ def test_equals_plain_count(docs, frequent, block):
 
 def test_many_pairs_leave_a_task_in_parts(docs, monkeypatch):
     monkeypatch.setattr(alignment, "PAIR_ENTRIES", 50)
-    figures, _ = alignment.alignment(docs(ROWS), A, B)
+    figures, _ = alignment.alignment(docs(ROWS), *FILES)
     assert sorted(map(tuple, figures.collect()), key=str) == sorted(expected(ROWS)[0], key=str)
 
 
 def test_same_bytes():
-    pair = alignment.aligner(A, B)
+    pair = alignment.aligner(*FILES)
     assert all(pair.bytes_b[b] == pair.bytes_a[a] for a, b in enumerate(pair.same) if b >= 0)
     # a character that is a piece is not mapped to its byte
     a = pair.bytes_a.index(b"A")
@@ -94,5 +95,13 @@ def test_same_bytes():
 
 
 def test_empty_table(docs):
-    figures, links = alignment.alignment(docs([]), A, B)
+    figures, links = alignment.alignment(docs([]), *FILES)
     assert figures.collect() == [] and links.collect() == []
+
+
+def test_pretokens_of_every_character():
+    """Neighbours of each character show its class, which must be that of the library."""
+    pair, library = alignment.aligner(*FILES), Tokenizer.from_file(A)
+    for low in range(0, 0x32000, 0x1000):
+        text = "".join(f" a{chr(c)}b {chr(c)}1{chr(c)}2\n{chr(c)}! {chr(c)}!" for c in range(low, low + 0x1000) if not 0xD800 <= c < 0xE000)
+        assert pair.encode([text])[0][0].tolist() == library.encode(" " + text, add_special_tokens=False).ids
