@@ -15,7 +15,8 @@ thus never gathers its texts in one task.
 A long text is encoded in blocks that end before a single space between two other characters. No
 token of either kind crosses such a place (checked for the piece model when it is read; the byte-level
 pattern starts a pre-token there), so blocks change nothing, and the digest of the groups is
-fed block by block.
+fed block by block. A is encoded by pre-tokens, whose ids a task remembers: its merges are in the order of its
+ids (checked when it is read), so they are ranks of byte strings.
 
 Defined cases. A text that is null or empty, or whose tokens do not join to the text with a space before it
 (the piece model writes a space for U+2581), has no tokens: all figures 0, digest ''. Strings that look like
@@ -27,7 +28,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
 from functools import cache
 
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pacewise.llm.bytebpe import Remembered, Splitter
+from pacewise.llm.bytebpe import Remembered, Splitter, one_by_one
 from pacewise.llm.words import mix
 from pacewise.session import shared_dir
 
@@ -63,49 +63,49 @@ class Aligner:
     """Both vocabularies as bytes, and the array from A ids to B ids of the same bytes."""
 
     def __init__(self, path_a: str, path_b: str, pattern: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        model_a = Tokenizer.from_file(path_a)
-        model_a.encode_special_tokens = True
-        self.a = Remembered(Splitter(pattern),
-                            lambda units: [e.ids for e in model_a.encode_batch_fast(units, add_special_tokens=False)])
-        self.b = SentencePieceProcessor(model_file=path_b)
+        self.b = model_b = SentencePieceProcessor(model_file=path_b)
         alphabet = _byte_alphabet()
         with open(path_a, encoding="utf-8") as file:
             model = json.load(file)
-        self.bytes_a = [b""] * model_a.get_vocab_size()
-        for token, i in model["model"]["vocab"].items():
-            self.bytes_a[i] = bytes(alphabet[c] for c in token)
-        for added in model["added_tokens"]:
-            self.bytes_a[added["id"]] = added["content"].encode()
-        pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode()
+        vocab = model["model"]["vocab"]
+        ranks = {bytes(alphabet[c] for c in token): i for token, i in vocab.items()}
+        added = {x["id"]: x["content"].encode() for x in model["added_tokens"]}
+        self.bytes_a = [b""] * (max([*ranks.values(), *added]) + 1)
+        for token, i in [*ranks.items(), *((content, i) for i, content in added.items())]:
+            self.bytes_a[i] = token
+        # Merges in the order of their ids are ranks.
+        made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["model"]["merges"]]
+        ranks = {self.bytes_a[i]: i for i in [*(vocab[c] for c in alphabet), *made]}
+        if sorted(made) != made or made[0] < max(vocab[c] for c in alphabet):
+            raise ValueError("the merges of this vocabulary are not in the order of its ids")
+        self.a = Remembered(Splitter(pattern), one_by_one(ranks))
+        pieces = [model_b.id_to_piece(i) for i in range(model_b.vocab_size())]
+        self.bytes_b = [bytes([int(p[3:5], 16)]) if model_b.is_byte(i) else p.replace(MARK, " ").encode()
                         for i, p in enumerate(pieces)]
         plain = [i for i in range(len(pieces))
-                 if not (self.b.is_control(i) or self.b.is_unknown(i) or self.b.is_unused(i))]
-        if any(MARK in pieces[i].lstrip(MARK) for i in plain):
-            raise ValueError("a piece of this model crosses the borders of blocks")
-        if self.b.normalize("Aéﬁ b") != f"{MARK}Aéﬁ{MARK}b" or self.b.normalize(" ") != MARK * 2:
+                 if not (model_b.is_control(i) or model_b.is_unknown(i) or model_b.is_unused(i))]
+        if any(MARK in pieces[i].lstrip(MARK) or "\n" in pieces[i] for i in plain):
+            raise ValueError("a piece of this model crosses the borders of pre-tokens")
+        if model_b.normalize("Aéﬁ b") != f"{MARK}Aéﬁ{MARK}b" or model_b.normalize(" ") != MARK * 2:
             raise ValueError("only piece models that leave the text as it is are supported")
         # a piece goes before the byte of the same value
-        id_of = {self.bytes_b[i]: i for i in sorted(plain, key=lambda i: (not self.b.is_byte(i), -i))}
-        id_of |= {self.bytes_b[i]: i for i in sorted(plain, reverse=True) if not self.b.is_byte(i)}
+        id_of = {self.bytes_b[i]: i for i in sorted(plain, key=lambda i: (not model_b.is_byte(i), -i))}
+        id_of |= {self.bytes_b[i]: i for i in sorted(plain, reverse=True) if not model_b.is_byte(i)}
         self.same = np.array([id_of.get(token, -1) if token else -1 for token in self.bytes_a], np.int32)
         self.size_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
         a, b = range(len(self.bytes_a)), range(len(self.bytes_b))
         self._written = [*(b"%d," % i for i in a), *(b"%d|" % i for i in a), *(b"%d," % i for i in b), *(b"%d;" % i for i in b)]
 
-    def encode(self, blocks: list[str]) -> list[tuple[np.ndarray, list[int]]]:
-        a = [np.frombuffer(self.a(f" {x}"), "<u4") for x in blocks]
-        return list(zip(a, self.b.encode(blocks, num_threads=1)))
-
-    def joins(self, block: str, a: np.ndarray, b: list[int]) -> bool:
-        """Whether the tokens of both are the block with a space before it."""
+    def encode(self, block: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """A and B ids of a block with a space before it; None where the tokens of one do not join to it."""
+        a, b = np.frombuffer(self.a(f" {block}"), "<u4"), self.b.encode(block)
         want = b" " + block.encode()
-        return b"".join(map(self.bytes_a.__getitem__, a.tolist())) == want == b"".join(map(self.bytes_b.__getitem__, b))
+        if int(self.size_a[a].sum()) != len(want) or b"".join(map(self.bytes_b.__getitem__, b)) != want:
+            return None
+        return a.astype(np.int64), np.array(b, np.int64)
 
     def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The index of the last A and the last B token of every group."""
@@ -113,14 +113,13 @@ class Aligner:
         common = np.intersect1d(ends_a, ends_b, assume_unique=True)
         return np.searchsorted(ends_a, common), np.searchsorted(ends_b, common)
 
-    def written(self, a, b, last_a, last_b) -> bytes:
+    def written(self, a, b, last_a, last_b, of_a, of_b) -> bytes:
         """The groups in decimal ids, each with ``;`` after it."""
-        of_a, of_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
         codes = np.empty(len(a) + len(b), np.int64)
         at_a = np.arange(len(a)) + np.repeat(np.r_[0, last_b[:-1] + 1], of_a)
         at_b = np.arange(len(b)) + np.repeat(last_a + 1, of_b)
         n_a, n_b = len(self.bytes_a), len(self.bytes_b)
-        mark_a, mark_b = a.astype(np.int64), b.astype(np.int64) + 2 * n_a
+        mark_a, mark_b = a.copy(), b + 2 * n_a
         mark_a[last_a] += n_a
         mark_b[last_b] += n_b
         codes[at_a], codes[at_b] = mark_a, mark_b
@@ -174,20 +173,20 @@ class _Text:
         none = np.zeros(0, np.int64)
         self.exact, self.pairs = (none, none), (none, none)
 
-    def add(self, pair: Aligner, block: str, a: np.ndarray, b: list[int]) -> None:
-        if not self.good:
-            return
-        if not pair.joins(block, a, b):
+    def add(self, pair: Aligner, block: str) -> None:
+        ids = pair.encode(block) if self.good else None
+        if ids is None:
             self.good = False
             return
-        a, b = a.astype(np.int64), np.array(b, np.int64)
+        a, b = ids
         last_a, last_b = pair.groups(a, b)
-        text = pair.written(a, b, last_a, last_b)
+        of_a, of_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        text = pair.written(a, b, last_a, last_b, of_a, of_b)
         self.sha.update((b";" if self.begun else b"") + text[:-1])
         self.begun = True
         self.n_a, self.n_b, self.n_groups = self.n_a + len(a), self.n_b + len(b), self.n_groups + len(last_a)
         left, right = a[last_a], b[last_b]
-        exact = ((np.diff(last_a, prepend=-1) == 1) & (np.diff(last_b, prepend=-1) == 1) & (pair.same[left] == right))
+        exact = (of_a == 1) & (of_b == 1) & (pair.same[left] == right)
         self.exact = self._with(self.exact, left[exact])
         self.pairs = self._with(self.pairs, left[~exact] << 32 | right[~exact])
 
@@ -206,35 +205,21 @@ def _aligning(path_a: str, path_b: str, pattern: str, size: int):
     def run(batches):
         pair = aligner(path_a, path_b, pattern)
         for batch in batches:
-            texts: list[_Text] = []
-            waiting: list[tuple[_Text, str]] = []
-            length = held = 0
-
-            def settle():
-                for (text, block), (a, b) in zip(waiting, pair.encode([x for _, x in waiting])):
-                    text.add(pair, block, a, b)
-                waiting.clear()
-
-            first = 0
+            rows, first, length = [], 0, 0
             for at in range(batch.num_rows):
                 value = batch.column(2)[at].as_py()
-                texts.append(_Text())
+                text = _Text()
                 for block in blocks(value, size) if value else ():
-                    waiting.append((texts[-1], block))
-                    length += len(block)
-                    if length >= size:
-                        settle()
-                        held, length = held + length, 0
-                if held > 16 * size or at + 1 == batch.num_rows:
-                    settle()
-                    held = length = 0
-                    rows = [t.row() for t in texts]
+                    text.add(pair, block)
+                rows.append(text.row())
+                length += len(value or "")
+                if length > 16 * size or at + 1 == batch.num_rows:
                     part = batch.slice(first, len(rows))
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0), part.column(1), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(
                             (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary())))],
                         names=["row", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "exact", "pairs"])
-                    first, texts = at + 1, []
+                    rows, first, length = [], at + 1, 0
     return run
 
 
