@@ -21,6 +21,7 @@ repeat an id are one node; each keeps its row. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -40,6 +41,8 @@ MOST_FREQUENT = 1 << 20  # so many at most; the rest keep their place. Bounds th
 PIECE = 256             # members or queries of a group that one task holds
 ROUTES = 1000           # tasks that one row of a document's routes names
 ENTRY_ROWS = 1 << 18    # matrix entries that a task gathers before it hands them on
+MEETINGS = 1 << 17      # of queries and groups that a task counts before it hands them on
+PIECE_SHINGLES = 1 << 21  # shingles of members or queries that one task holds, on average
 BUCKET_ROWS = 400_000   # matrix entries that one task holds
 
 _SKETCH = "doc long, n long, d1 long, d2 long, mins array<long>"
@@ -126,6 +129,11 @@ def _verified(percent: int):
     return run
 
 
+def _parts(sets, shingles):
+    """Parts of bounded size for a number of sets with so many shingles together."""
+    return F.ceil(F.greatest(sets / PIECE, shingles / PIECE_SHINGLES)).cast("int")
+
+
 def _linked(documents: DataFrame, routes: DataFrame, words: int, percent: int) -> DataFrame:
     """Verified links ``(a, b)`` along ``routes (doc, grp, piece, part, query)``."""
     # A document with very many routes has several rows of them.
@@ -141,12 +149,12 @@ def _linked(documents: DataFrame, routes: DataFrame, words: int, percent: int) -
 
 def _groups(documents: DataFrame, classes: DataFrame, words: int, percent: int):
     """Star links of similar documents, and ``(doc, grp)`` for documents of groups above one."""
-    keys = classes.select("doc", F.posexplode("mins").alias("round", "least"))
+    keys = classes.select("doc", "n", F.posexplode("mins").alias("round", "least"))
     leaders = (keys.groupBy("round", "least").agg(F.min("doc").alias("grp"), F.count(F.lit(1)).alias("size"))
                .where("size > 1"))
     stars = reliable(keys.join(leaders, ["round", "least"]).where(F.col("doc") != F.col("grp"))
-                     .select("doc", "grp").distinct())
-    sizes = stars.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("parts"))
+                     .select("doc", "grp", "n").distinct())
+    sizes = stars.groupBy("grp").agg(_parts(F.count(F.lit(1)), F.sum("n")).alias("parts"))
     # the leader is the one member; its followers are the queries, in parts of bounded size
     routes = (stars.join(sizes, "grp")
               .select("doc", "grp", F.lit(0).alias("piece"), F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part"),
@@ -270,9 +278,9 @@ def _unpacked(table: pa.Table) -> dict[str, np.ndarray]:
 
 
 def _meetings(percent: int):
-    """Queries and groups that share a shingle of one bucket of the matrix, with counts."""
-    def run(key, batches):
-        x = _unpacked(pa.Table.from_batches(batches))
+    """Queries and groups that share a shingle of one bucket of the matrix, with counts, a part at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = _unpacked(pa.Table.from_batches(list(batches)))
         order = np.lexsort((x["grp"], x["size"], x["token"]))
         x = {name: column[order] for name, column in x.items()}
         new = np.r_[True, x["token"][1:] != x["token"][:-1]]
@@ -293,7 +301,7 @@ def _meetings(percent: int):
         steps = np.r_[0, np.cumsum(count)]
         at = 0
         while at < len(entry):
-            end = max(at + 1, int(np.searchsorted(steps, steps[at] + (1 << 19), "right")) - 1)
+            end = max(at + 1, int(np.searchsorted(steps, steps[at] + MEETINGS, "right")) - 1)
             c = count[at:end]
             q = np.repeat(entry[at:end], c)
             g = heads[np.repeat(begin[at:end] - (steps[at:end] - steps[at]), c) + np.arange(c.sum())]
@@ -344,14 +352,14 @@ def _opened(documents: DataFrame, members: DataFrame, groups: DataFrame, words:
               .where(F.coalesce(~F.col("copy"), F.lit(True)))
               .select("doc", "text", F.coalesce("grp", "doc").alias("grp"), F.coalesce("size", F.lit(1)).alias("size")))
     entries = placed.mapInArrow(_entries(words, percent, buckets, frequent), "bucket int, rows int, entries binary")
-    met = (entries.groupBy("bucket").applyInArrow(_meetings_of(percent), _MEET).groupBy("q", "g")
+    met = (entries.groupBy("bucket").applyInArrow(_meetings(percent), _MEET).groupBy("q", "g")
            .agg(F.sum("c").alias("c"), *[F.max(k).alias(k) for k in ("i", "j", "n", "m", "eq", "es")]))
     opened = reliable(met.join(groups.select(F.col("grp").alias("g"), "lo", "hi"), "g", "left")
-                      .where(_bound(percent)).select("q", "g"))
-    crowd = opened.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("parts"))
+                      .where(_bound(percent)).select("q", "g", "n"))
+    crowd = opened.groupBy("g").agg(_parts(F.count(F.lit(1)), F.sum("n")).alias("parts"))
     inside = (members.where(~F.col("copy")).select("doc", F.col("grp").alias("g"))
               .unionByName(opened.select(F.col("g").alias("doc"), "g")).distinct())
-    plan = crowd.join(groups.select(F.col("grp").alias("g"), F.ceil(F.col("size") / PIECE).cast("int").alias("pieces")), "g", "left")
+    plan = crowd.join(groups.select(F.col("grp").alias("g"), _parts(F.col("size"), F.col("size") * F.col("hi")).alias("pieces")), "g", "left")
     plan = reliable(plan.withColumn("pieces", F.coalesce("pieces", F.lit(1))))
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     routes = (opened.join(plan, "g")
@@ -363,18 +371,6 @@ def _opened(documents: DataFrame, members: DataFrame, groups: DataFrame, words:
     return _linked(documents, routes, words, percent)
 
 
-def _meetings_of(percent: int):
-    inner = _meetings(percent)
-
-    def run(table: pa.Table) -> pa.Table:
-        out = list(inner(None, table.to_batches()))
-        if not out:
-            return pa.table({f.split()[0]: pa.array([], pa.int64() if f.split()[1] == "long" else pa.int32())
-                             for f in _MEET.split(", ")})
-        return pa.Table.from_batches(out)
-    return run
-
-
 # --- result -------------------------------------------------------------------------
 
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80,

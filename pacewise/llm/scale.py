@@ -26,7 +26,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
     Alternates the large-star and small-star steps; each joins edges with one least
     neighbour per node, so no task holds the edges of a node. The number of rounds
-    grows with the logarithm of the longest chain. Every round ends in a checkpoint.
+    grows with the logarithm of the longest chain; one that is not stable after ``rounds`` fails. Every round ends
+    in a checkpoint.
     """
     kept = reliable(edges.where(F.col("a") != F.col("b"))
                     .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -47,5 +48,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if state == now:
             break
         state = now
+    else:
+        raise RuntimeError(f"components are not stable after {rounds} rounds")
     return (kept.select(F.col("a").alias("node"), F.col("b").alias("component"))
             .unionByName(kept.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pacewise.llm.words import chunks, mix, powers, slices
+from pacewise.llm.words import chunks, long_hashes, mix, powers, slices
 from pacewise.session import reliable
 
 WIDTH = 50
@@ -68,7 +68,7 @@ def _segments_of(data: np.ndarray, offsets: np.ndarray, width: int, k: int):
     ends = inside.copy()
     ends[:-1] &= begins[1:] | ~inside[1:]
     begin, end = np.flatnonzero(begins), np.flatnonzero(ends) + width
-    content = mix((sums[end] - sums[begin]) * inverse[begin])
+    content = long_hashes(mix((sums[end] - sums[begin]) * inverse[begin]), data, begin, end)
     return least[begin], row[begin], begin, end, content
 
 
@@ -240,7 +240,7 @@ def _in_stretch(key, doc, begin, size, text, width: int):
     power, inverse = powers(len(text) + 1)
     sums = np.zeros(len(text) + 1, np.uint64)
     np.cumsum((text.astype(np.uint64) + np.uint64(1)) * power[:len(text)], out=sums[1:])
-    content = mix((sums[place + size] - sums[place]) * inverse[place])
+    content = long_hashes(mix((sums[place + size] - sums[place]) * inverse[place]), text, place, place + size)
     settled = doc > _first_of_equal(key, size, content, doc)
     rest = ~settled
     return [_merged(doc[settled], begin[settled], (begin + size)[settled]),

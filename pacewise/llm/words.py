@@ -2,17 +2,21 @@
 
 A word is a run of bytes other than space and 0x09-0x0D. Hashes are 64-bit
 polynomials over the bytes, mixed; equal words have equal hashes on every machine.
+Different strings of some thousand bytes can be made to have one polynomial modulo 2**64,
+so strings of more than ``LONG`` bytes are hashed by blake2b.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
 SLICE_ROWS = 1000
+LONG = 256
 
 _BASE = 0x9E3779B97F4A7C55
 _SPACE = np.zeros(256, bool)
@@ -101,7 +105,15 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((_LOWER[data] if lower else data).astype(np.uint64) * power[:len(data)] + power[:len(data)],
               out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return long_hashes(hashes, _LOWER[data] if lower and (ends - starts > LONG).any() else data, starts, ends)
+
+
+def long_hashes(hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The same hashes, but those of long strings by blake2b."""
+    for i in np.flatnonzero(ends - starts > LONG):
+        hashes[i] = int.from_bytes(blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return hashes
 
 
 _ODD = mix(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)

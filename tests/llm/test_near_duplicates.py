@@ -5,6 +5,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pytest
 
 from pacewise.llm import jaccard
 from pacewise.llm.jaccard import near_duplicates, one_of_each_group
@@ -94,3 +95,20 @@ def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (205, 200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 200: 200, 205: 200}
+
+
+def thue_morse(size, letters="ab"):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(size))
+
+
+def test_long_words_with_one_polynomial(docs):
+    """Words that are equal for every polynomial modulo 2**64 are different shingles."""
+    rows = [(i, thue_morse(size, letters)) for i, (size, letters) in enumerate(
+        (n, x) for n in (1024, 2048, 4096) for x in ("ab", "ba"))]
+    assert result(near_duplicates(docs(rows))) == expected(rows)
+
+
+def test_components_that_are_not_stable_fail(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components(chain, rounds=2)

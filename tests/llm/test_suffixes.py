@@ -87,3 +87,30 @@ def test_levels_grow_geometrically():
         levels.add(np.array([b"%05d" % i] * 1, "S5"), np.array([i]))
     assert len(levels.levels) <= 7 and sum(len(k) for k, _ in levels.levels) == 64
     assert levels.first_documents(np.array([b"00007", b"99999"], "S5")).tolist() == [7, np.iinfo(np.int64).max]
+
+
+def test_long_segments_with_one_polynomial():
+    """Different segments that any polynomial modulo 2**64 takes for one."""
+    import numpy as np
+
+    from pacewise.llm import words
+
+    rng = random.Random(2)
+    blocks = [bytes(rng.randrange(97, 123) for _ in range(30)) for _ in range(2)]
+    one, two = (b"".join(blocks[(bin(i).count("1") + k) % 2] for i in range(1024)) for k in (0, 1))
+    data = np.frombuffer(one + two, np.uint8)
+    starts, ends = np.array([0, len(one)]), np.array([len(one), len(one) + len(two)])
+    same = np.zeros(2, np.uint64)
+    assert len(set(words.long_hashes(same, data, starts, ends).tolist())) == 2
+    first = suffixes._first_of_equal(np.zeros(2, np.uint32), ends - starts, same, np.array([1, 2]))
+    assert first.tolist() == [1, 2]
+
+
+def test_periodic_texts(docs):
+    """Segments much longer than a window: texts of repeated blocks in different order."""
+    rng = random.Random(3)
+    blocks = ["".join(rng.choice("abcdef ") for _ in range(30)) for _ in range(2)]
+    texts = ["".join(blocks[(bin(i).count("1") + k) % 2] for i in range(1024)) for k in (0, 1)]
+    rows = [(1, texts[0]), (2, texts[1]), (3, "ab" * 9000), (4, "ba" * 9000), (5, texts[0][:5000] + "x" + texts[1])]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in removal_digests(docs(rows)).collect()}
+    assert got == expected(rows)
