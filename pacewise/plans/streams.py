@@ -11,12 +11,13 @@ from pacewise.operators.compare import feature_fingerprint, same_fingerprint
 from pacewise.operators.ordering import range_bounds
 from pacewise.operators.training import LogisticModel, fit
 from pacewise.operators.sampling import sampled_features
-from pacewise.operators.velocity import FEATURES, features
+from pacewise.operators.velocity import FEATURES, WINDOW_STEPS, features
 from pacewise.plans.models import FIXED, GD_EPOCHS, GD_RATE, SAMPLE_SQL, SCORED, score_sql
 from pacewise.plans.registry import TXN, event_rows, features_sql, query, table
 from pacewise.plans.windows import VELOCITY_SQL, rounded
 from pacewise.session import shared_dir
 from pacewise.sources.landing import live_transactions
+from pacewise.streaming.batchlog import BATCH
 from pacewise.streaming.flow import flow_log, latest_per_interval, max_backlog, shedding, watched
 from pacewise.streaming.folds import RunningSample, RunningStats
 from pacewise.streaming.keyed import keyed_features
@@ -119,17 +120,52 @@ def _each_batch(function, root: str):
 LATENESS = 48
 
 
-@query("stream_late_rows", f"""WITH {TXN} SELECT seq, account, step, amount FROM txn
-WHERE seq % 2 = 1 AND step < (SELECT max(step) FROM txn WHERE seq % 2 = 0) - {LATENESS}""")
-def stream_late_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Odd rows arrive after all even ones; those too far behind are kept apart."""
+def _late_live(spark: SparkSession, sf: str) -> LiveFeatures:
+    """Odd rows arrive after all even ones."""
     root = shared_dir(spark, "late-rows")
     live = LiveFeatures(spark, root, lateness=LATENESS)
     rows = event_rows(spark, sf)
     for parity in (0, 1):
         rows.where(F.col("seq") % 2 == parity).write.mode("append").parquet(f"{root}/landed")
         live.start(live_transactions(spark, f"{root}/landed"), f"{root}/checkpoint").awaitTermination()
-    return live.late.read().select("seq", "account", "step", "amount")
+    return live
+
+
+# Rows that were taken, and the step before which nothing is needed any more.
+_TAKEN = f"""{TXN}, taken AS (
+  SELECT * FROM txn WHERE seq % 2 = 0 OR step >= (SELECT max(step) FROM txn WHERE seq % 2 = 0) - {LATENESS}),
+bound AS (SELECT max(step) - {LATENESS} - {WINDOW_STEPS} AS bound FROM taken)"""
+
+
+@query("stream_late_rows", f"""WITH {TXN} SELECT seq, account, step, amount FROM txn
+WHERE seq % 2 = 1 AND step < (SELECT max(step) FROM txn WHERE seq % 2 = 0) - {LATENESS}""")
+def stream_late_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Those too far behind are kept apart."""
+    return _late_live(spark, sf).late.read().select("seq", "account", "step", "amount")
+
+
+@query("stream_evicted_steps", f"""WITH {_TAKEN} SELECT account, step, count(*) AS n,
+  CAST(sum(units) AS BIGINT) AS units, max(amount) AS peak FROM taken, bound WHERE step < bound GROUP BY account, step""")
+def stream_evicted_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """Partials that left the state: every step that no later row can reach, each once."""
+    live = _late_live(spark, sf)
+    live.settle()
+    return live.evicted.read().drop(BATCH)
+
+
+@query("stream_progress", f"""WITH {_TAKEN}, steps AS (SELECT DISTINCT account, step FROM taken)
+SELECT (SELECT count(*) FROM txn) AS rows_in, (SELECT count(*) FROM txn) - (SELECT count(*) FROM taken) AS rows_late,
+  (SELECT count(*) FROM taken) AS rows_out, count(*) FILTER (step >= bound) AS state_rows,
+  count(*) FILTER (step < bound) AS evicted_rows, any_value(bound) + {LATENESS + WINDOW_STEPS} AS newest_step FROM steps, bound""")
+def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows in, late and out of all batches; partials put out, and those held at the end."""
+    live = _late_live(spark, sf)
+    live.settle()
+    # settling is noted under a negative number, the last one under the least
+    return live.progress.read().agg(
+        F.sum("rows_in").alias("rows_in"), F.sum("rows_late").alias("rows_late"), F.sum("rows_out").alias("rows_out"),
+        F.min_by("state_rows", BATCH).alias("state_rows"), F.sum("evicted_rows").alias("evicted_rows"),
+        F.max("newest_step").alias("newest_step"))
 
 
 # --- flow ------------------------------------------------------------------------

@@ -174,3 +174,60 @@ def test_backlog(spark):
     for pieces in (2, 9):
         found = {r.feed: r.max_backlog for r in max_backlog(log, pieces).collect()}
         assert found == backlog_by_hand(items)
+
+
+# --- history -----------------------------------------------------------------------
+
+
+def test_files_and_runs_stay_few(spark, tmp_path):
+    """A batch of one account opens one bucket of logarithmically many runs, however many batches there were."""
+    live = LiveFeatures(spark, str(tmp_path), window=3, lateness=0, buckets=8)
+    items = [(i, i % 5, i, 1.0) for i in range(24)]
+    for i, item in enumerate(items):
+        live(made(spark, [item]), i)
+    told = {r.batch_id: r for r in live.progress.read().collect()}
+    assert max(r.files_read for r in told.values()) <= 4 and max(r.runs for r in told.values()) <= 6
+    assert all(r.rows_in == r.rows_out == 1 and r.rows_late == 0 for r in told.values())
+    runs = list((tmp_path / "history" / "runs").glob("run=*"))
+    assert len(runs) <= 12 and len(list((tmp_path / "history" / "marks").glob("[0-9]*.json"))) <= 2
+    assert same(features(made(spark, items), 3), live.output.read().drop("batch_id"))
+
+
+def test_only_buckets_of_the_batch_are_read(spark, rows, thirds, tmp_path):
+    live = LiveFeatures(spark, str(tmp_path), buckets=16)
+    for i, part in enumerate(thirds[:2]):
+        live(part, i)
+    mark = live.history.mark()
+    one = rows.limit(1).first().account
+    bucket = spark.range(1).select(live.history.bucket_of(F.lit(one).cast("long"))).first()[0]
+    past = live.history.past(mark, [bucket], -10**6)
+    assert past.inputFiles() and all(f"bucket={bucket}/" in f for f in past.inputFiles())
+    assert len(past.inputFiles()) < len(live.history.past(mark, list(range(16)), -10**6).inputFiles())
+    assert past.where(F.col("account") == one).agg(F.sum("n")).first()[0] == (
+        thirds[0].unionAll(thirds[1]).where(F.col("account") == one).count())
+
+
+def test_merges_and_evictions_can_run_again(spark, rows, tmp_path):
+    """Each batch runs twice, as after a failure before its commit; merges happen in between."""
+    edges = rows.agg(F.percentile_approx("step", [i / 10 for i in range(1, 10)])).first()[0]
+    parts = [rows.where((F.col("step") > lo) & (F.col("step") <= hi)) for lo, hi in zip([-1, *edges], [*edges, 10**9])]
+    for i, part in enumerate(parts):
+        for _ in range(2):
+            LiveFeatures(spark, str(tmp_path), window=5, lateness=3)(part, i)
+    live = LiveFeatures(spark, str(tmp_path), window=5, lateness=3)
+    assert same(features(rows, 5), live.output.read().drop("batch_id"))
+    live.settle()
+    live.settle()
+    high = rows.agg(F.max("step")).first()[0]
+    steps = rows.groupBy("account", "step").agg(F.count(F.lit(1)).alias("n"))
+    assert same(steps.where(F.col("step") < high - 8), live.evicted.read().select("account", "step", "n"))
+    assert same(steps.where(F.col("step") >= high - 8), live.history.read().select("account", "step", "n"))
+
+
+def test_stream_goes_on_after_settling(spark, rows, thirds, tmp_path):
+    live = LiveFeatures(spark, str(tmp_path))
+    for i, part in enumerate(thirds):
+        live(part, i)
+        live.settle()
+    assert same(features(rows), live.output.read().drop("batch_id"))
+    assert live.evicted.read().groupBy("account", "step").count().where("count > 1").isEmpty()
