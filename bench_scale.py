@@ -20,7 +20,9 @@ from pacewise.operators.aggregates import filtered_aggregate, filtered_count, pe
 from pacewise.operators.velocity import features  # noqa: E402
 from pacewise.plans.models import FIXED  # noqa: E402
 from pacewise.plans.registry import event_rows  # noqa: E402
-from pacewise.session import local_session, path_exists  # noqa: E402
+from pacewise.session import local_session, path_exists, shared_dir  # noqa: E402
+from pacewise.sources.landing import live_transactions  # noqa: E402
+from pacewise.streaming.live import LiveFeatures  # noqa: E402
 
 
 def main() -> None:
@@ -30,6 +32,7 @@ def main() -> None:
     parser.add_argument("--hot", action="store_true")
     parser.add_argument("--hot-rows", type=int, default=1_000_000)
     parser.add_argument("--runs", type=int, default=3)
+    parser.add_argument("--stream", type=int, metavar="BATCHES", help="only run the rows as a live stream in so many micro-batches")
     args = parser.parse_args()
     spark = local_session("bench-scale", cores=int(os.environ.get("BENCH_CPUS", "8")))
 
@@ -48,6 +51,9 @@ def main() -> None:
     def sink(df):
         df.write.format("noop").mode("overwrite").save()
 
+    if args.stream:
+        stream(spark, rows, count, args.stream)
+        return
     jobs = {
         "features": lambda: sink(features(rows, hot_rows=args.hot_rows)),
         "features_and_score": lambda: sink(FIXED.score(features(rows, hot_rows=args.hot_rows))),
@@ -69,5 +75,23 @@ def main() -> None:
     spark.stop()
 
 
+def stream(spark, rows, count, batches):
+    """Live features and scores over all rows in step order, one landed file a micro-batch."""
+    root = shared_dir(spark, "bench-stream")
+    files = rows.withColumn("merchant", F.lit("")).repartitionByRange(batches, "step", "seq").sortWithinPartitions("step", "seq")
+    files.write.parquet(f"{root}/landed")
+    live = LiveFeatures(spark, f"{root}/live", model=FIXED)
+    begin = time.perf_counter()
+    query = live.start(live_transactions(spark, f"{root}/landed", files_per_trigger=1), f"{root}/checkpoint")
+    query.awaitTermination()
+    took = time.perf_counter() - begin
+    seconds = [round(p["durationMs"]["triggerExecution"] / 1000, 2) for p in query.recentProgress if p["numInputRows"]]
+    told = live.progress.read().agg(F.sum("rows_in"), F.max("runs"), F.max("files_read"), F.max("state_rows")).first()
+    print(json.dumps({"job": "stream_features_and_score", "rows": told[0], "seconds": round(took, 3),
+                      "million_rows_per_second": round(count / took / 1e6, 3), "seconds_per_batch": seconds,
+                      "most_runs": told[1], "most_files_read": told[2], "most_state_rows": told[3]}), flush=True)
+    spark.stop()
+
+
 if __name__ == "__main__":
     main()
