@@ -8,12 +8,11 @@ use :class:`pacewise.streaming.live.LiveFeatures`, which splits them.
 
 from __future__ import annotations
 
-from collections import deque
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pacewise.functions.money import minor_units
@@ -21,28 +20,33 @@ from pacewise.operators.velocity import WINDOW_STEPS, feature_columns
 from pacewise.schema import HOUR_SECONDS
 
 _STATE = "steps array<int>, n array<long>, units array<long>, peaks array<double>"
-_OUT = "account long, step int, amount double, seq long, w_n long, w_units long, w_peak double"
+_TOTALS = (("w_n", T.LongType()), ("w_units", T.LongType()), ("w_peak", T.DoubleType()))
+_WORK = ("__units", "__at")  # columns used for the work itself
 
 
 def keyed_features(stream: DataFrame, window: int = WINDOW_STEPS, lateness: int | None = None,
                    unit_seconds: int = HOUR_SECONDS, decimals: int = 2) -> DataFrame:
-    """``account, step, amount, seq`` and the five features, as a streaming DataFrame.
+    """All columns of ``stream`` and the five features, as a streaming DataFrame.
 
-    Rows more than ``lateness`` steps (one window by default) behind the newest step
-    are refused by the watermark and counted in the progress of the query. An account
+    ``stream`` has ``account, step, amount, seq`` and any other columns, which pass through, so that
+    the result can be scored as that of a table. Rows more than ``lateness`` steps (one window by default)
+    behind the newest step are refused by the watermark and counted in the progress of the query. An account
     idle for a window past that loses its state.
     """
+    taken = sorted({*_WORK, *(name for name, _ in _TOTALS)} & set(stream.columns))
+    if taken:
+        raise ValueError(f"column names used for the work itself: {taken}")
     slack = window if lateness is None else lateness
-    timed = (stream.select("account", "step", "amount", "seq",
-                           minor_units(F.col("amount"), decimals).alias("units"),
-                           F.timestamp_seconds(F.col("step").cast("long") * unit_seconds).alias("at"))
-             .withWatermark("at", f"{max(slack, 1) * unit_seconds} seconds"))
+    timed = (stream.select("*", minor_units(F.col("amount"), decimals).alias(_WORK[0]),
+                           F.timestamp_seconds(F.col("step").cast("long") * unit_seconds).alias(_WORK[1]))
+             .withWatermark(_WORK[1], f"{max(slack, 1) * unit_seconds} seconds"))
+    out = T.StructType([*stream.schema.fields, *(T.StructField(name, kind) for name, kind in _TOTALS)])
     folded = timed.groupBy("account").applyInPandasWithState(
-        _fold(window, unit_seconds), _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    return folded.select("account", "step", "amount", "seq", *feature_columns(decimals))
+        _fold(window, unit_seconds, stream.columns), out, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return folded.select(*[F.col(f"`{c}`") for c in stream.columns], *feature_columns(decimals))
 
 
-def _fold(window: int, unit_seconds: int):
+def _fold(window: int, unit_seconds: int, columns: list[str]):
     def fold(key, chunks, state: GroupState):
         if state.hasTimedOut:
             state.remove()
@@ -52,7 +56,7 @@ def _fold(window: int, unit_seconds: int):
         own = len(held[0])
         step = np.concatenate([held[0], rows["step"]]).astype(np.int64)
         n = np.concatenate([held[1], np.ones(len(rows))]).astype(np.int64)
-        units = np.concatenate([held[2], rows["units"]]).astype(np.int64)
+        units = np.concatenate([held[2], rows["__units"]]).astype(np.int64)
         peak = np.concatenate([held[3], rows["amount"]]).astype(np.float64)
 
         # What was held arrived earlier than any row of its step.
@@ -64,13 +68,9 @@ def _fold(window: int, unit_seconds: int):
         here = position[own:]
         total_n = np.concatenate([[0], np.cumsum(n)])
         total_units = np.concatenate([[0], np.cumsum(units)])
-        yield pd.DataFrame({
-            "account": key[0], "step": rows["step"].to_numpy(), "amount": rows["amount"].to_numpy(),
-            "seq": rows["seq"].to_numpy(),
-            "w_n": total_n[here] - total_n[first[here]],
-            "w_units": total_units[here] - total_units[first[here]],
-            "w_peak": _sliding_max(peak, first)[here],
-        })
+        yield rows[columns].assign(
+            w_n=total_n[here] - total_n[first[here]], w_units=total_units[here] - total_units[first[here]],
+            w_peak=range_max(peak, first[here], here))
 
         last = int(step[-1])
         recent = step >= last - window
@@ -86,15 +86,18 @@ def _fold(window: int, unit_seconds: int):
     return fold
 
 
-def _sliding_max(values: np.ndarray, first: np.ndarray) -> list[float | None]:
-    """Largest of ``values[first[i]:i]`` for each i; None where that is empty."""
-    best: deque[int] = deque()
-    out: list[float | None] = []
-    for i, value in enumerate(values):
-        while best and best[0] < first[i]:
-            best.popleft()
-        out.append(values[best[0]] if best else None)
-        while best and values[best[-1]] <= value:
-            best.pop()
-        best.append(i)
-    return np.array(out, dtype=object)
+def range_max(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Largest of ``values[first[i]:end[i]]`` for each i; NaN, so null, where that is empty.
+
+    Any range is covered by two of one power-of-two length; the maxima of all such ranges double in length from
+    round to round.
+    """
+    out = np.full(len(first), np.nan)
+    level = np.frexp(end - first)[1] - 1  # the power below the length; -1 for an empty range
+    top, reach = values, 1
+    for k in range(int(level.max(initial=-1)) + 1):
+        at = np.flatnonzero(level == k)
+        out[at] = np.maximum(top[first[at]], top[end[at] - reach])
+        top = np.maximum(top[:-reach], top[reach:])
+        reach *= 2
+    return out

@@ -6,7 +6,7 @@ from pacewise.operators.velocity import features
 from pacewise.plans.models import FIXED
 from pacewise.streaming.flow import flow_log, latest_per_interval, max_backlog, shedding, watched
 from pacewise.streaming.folds import RunningSample, RunningStats
-from pacewise.streaming.keyed import keyed_features
+from pacewise.streaming.keyed import keyed_features, range_max
 from pacewise.streaming.live import LiveFeatures
 
 ROW = "account long, step int, amount double, isFraud byte, merchant string, seq long"
@@ -112,6 +112,26 @@ def test_keyed_state_with_ties_and_gaps(spark, tmp_path):
     assert same(features(made(spark, items)).select(*found.columns), found)
 
 
+def test_keyed_state_feeds_the_scorer(spark, rows, thirds, tmp_path):
+    """Label, merchant and further columns pass through, so the stream is scored as the table is."""
+    found = run_keyed(spark, [t.withColumn("extra", F.col("seq") * 2) for t in thirds], tmp_path)
+    assert set(rows.columns) | {"extra"} <= set(found.columns)
+    assert same(FIXED.score(features(rows.withColumn("extra", F.col("seq") * 2))), FIXED.score(found))
+    with pytest.raises(ValueError):
+        keyed_features(rows.withColumn("w_n", F.lit(1)))
+
+
+def test_range_max():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    values = rng.normal(size=300)
+    first = np.sort(rng.integers(0, 300, 300))
+    end = np.minimum(first + rng.integers(0, 90, 300), 300)
+    want = [values[a:b].max() if b > a else np.nan for a, b in zip(first, end)]
+    assert np.array_equal(range_max(values, first, end), want, equal_nan=True)
+
+
 def test_stats_follow_the_stream(spark, rows, thirds, tmp_path):
     stats = RunningStats(spark, str(tmp_path))
     for i, part in enumerate([*thirds, rows.where("seq < 0")]):
