@@ -1,27 +1,41 @@
 """Arrow IPC stream files as a Spark source, sink and stream.
 
 ``spark.read.format("arrow_stream").load(path)`` after :func:`register`. Large
-files are split: a split starts at the first record batch at or after its offset,
-found by stepping over message headers without reading bodies.
+files are split: a split holds the record batches that start inside it.
+
+The sink leaves an index beside each file, in ``_index``: where every message lies, its rows, and the least
+and greatest value per column. A task that reads a split takes the places of its batches from there,
+skips those that no row of can meet the filters, and reads nothing else; batches of dictionary-coded files
+come with the dictionaries before them. :func:`build_index` adds the index to files of other writers, one
+task a file. A file without one is read by stepping over message headers from its start.
+
+Filters reach the source if ``spark.sql.python.filterPushdown.enabled`` is set; Spark applies them to the rows in any case.
 """
 
 from __future__ import annotations
 
+import io
 import json
+import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader,
-                                    DataSourceStreamReader, InputPartition, WriterCommitMessage)
+from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter,
+                                    GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual,
+                                    WriterCommitMessage)
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 FORMAT = "arrow_stream"
 SUFFIX = ".arrows"
 SUMMARY = "_SUCCESS"
+INDEX = "_index"
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 # Rows per record batch on writing, unless the option ``batch_size`` says otherwise.
 BATCH_ROWS = 65_536
@@ -35,6 +49,7 @@ def register(spark: SparkSession) -> None:
 
 def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
     register(spark)
+    options.setdefault("push_filters", spark.conf.get(PUSHDOWN, "false"))
     return spark.read.format(FORMAT).options(**options).load(qualified(spark, path))
 
 
@@ -96,7 +111,7 @@ class Split(InputPartition):
 
 
 class ArrowStreamSource(DataSource):
-    """Options: ``path``, ``split_bytes``, ``batch_size``, ``files_per_trigger``."""
+    """Options: ``path``, ``split_bytes``, ``batch_size``, ``files_per_trigger``, ``push_filters``."""
 
     @classmethod
     def name(cls) -> str:
@@ -111,7 +126,9 @@ class ArrowStreamSource(DataSource):
             return from_arrow_schema(pa.ipc.read_schema(pa.ipc.read_message(source)))
 
     def reader(self, schema):
-        return ArrowStreamReader(schema, self.options)
+        # Spark refuses a reader that takes filters where the setting is off.
+        pushes = str(self.options.get("push_filters", "false")).lower() == "true"
+        return (FilteringReader if pushes else ArrowStreamReader)(schema, self.options)
 
     def streamReader(self, schema):
         return ArrowStreamFollower(schema, self.options)
@@ -138,6 +155,23 @@ class ArrowStreamReader(DataSourceReader):
         return _read_split(self.path, partition, self.wanted)
 
 
+class FilteringReader(ArrowStreamReader):
+    """Skips record batches whose least and greatest values rule out every row."""
+
+    def __init__(self, schema, options) -> None:
+        super().__init__(schema, options)
+        self.limits: list[tuple[str, str, object]] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if isinstance(f, tuple(_LIMITS)) and len(f.attribute) == 1:
+                self.limits.append((f.attribute[0], _LIMITS[type(f)], f.value))
+            yield f  # a batch that is read may hold other rows too
+
+    def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
+        return _read_split(self.path, partition, self.wanted, self.limits)
+
+
 class ArrowStreamFollower(DataSourceStreamReader):
     """Each file is read once, oldest first, whatever its name.
 
@@ -209,28 +243,199 @@ class ArrowStreamFollower(DataSourceStreamReader):
         return _read_split(self.path, partition, self.wanted)
 
 
-def _read_split(path: str, split: Split, wanted: pa.Schema) -> Iterator[pa.RecordBatch]:
+# --- index ----------------------------------------------------------------------
+
+_LIMITS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<=", In: "in"}
+
+
+def _is_ordered(kind: pa.DataType) -> bool:
+    """Types whose least and greatest values are kept."""
+    return (pa.types.is_integer(kind) or pa.types.is_floating(kind) or pa.types.is_string(kind)
+            or pa.types.is_large_string(kind) or pa.types.is_date32(kind))
+
+
+def _extent(column: pa.Array) -> tuple:
+    """Least and greatest value; a NaN counts as larger than any number, as in Spark. Both null where all is null."""
+    if pa.types.is_floating(column.type) and pc.any(pc.is_nan(column)).as_py():
+        numbers = column.filter(pc.invert(pc.is_nan(column)))
+        return (pc.min_max(numbers)["min"].as_py() if numbers.null_count < len(numbers) else math.inf), math.inf
+    found = pc.min_max(column)
+    return found["min"].as_py(), found["max"].as_py()
+
+
+class Index:
+    """Rows about the messages of a file while they pass: dictionaries and record batches."""
+
+    def __init__(self, schema: pa.Schema) -> None:
+        self.columns = [f for f in schema if _is_ordered(f.type)]
+        self.rows: list[tuple] = []
+
+    def dictionary(self, offset: int, length: int) -> None:
+        self.rows.append((True, offset, length, 0, *[None] * (2 * len(self.columns))))
+
+    def batch(self, offset: int, length: int, batch: pa.RecordBatch) -> None:
+        extents = [v for f in self.columns for v in _extent(batch.column(batch.schema.get_field_index(f.name)))]
+        self.rows.append((False, offset, length, batch.num_rows, *extents))
+
+    def table(self, size: int) -> pa.Table:
+        fields = [("dictionary", pa.bool_()), ("offset", pa.int64()), ("length", pa.int64()), ("rows", pa.int64())]
+        fields += [(f"{which}.{f.name}", f.type) for f in self.columns for which in ("min", "max")]
+        columns = [pa.array([r[i] for r in self.rows], kind) for i, (_, kind) in enumerate(fields)]
+        return pa.table(columns, pa.schema(fields, {"size": str(size)}))
+
+
+def index_path(file: str) -> str:
+    folder, _, name = file.rpartition("/")
+    return f"{folder}/{INDEX}/{name}.parquet"
+
+
+def _load_index(system: pafs.FileSystem, file: str, size: int) -> pa.Table | None:
+    """The index of a file; None if it has none, or one of other content."""
+    path = index_path(file)
+    if system.get_file_info(path).type != pafs.FileType.File:
+        return None
+    with system.open_input_file(path) as source:
+        index = pq.read_table(source)
+    return index if (index.schema.metadata or {}).get(b"size") == str(size).encode() else None
+
+
+def _can_meet(least, greatest, relation: str, value) -> bool:
+    """Whether a value between ``least`` and ``greatest`` may stand in this relation; nulls stand in none."""
+    if relation == "in":
+        return any(_can_meet(least, greatest, "=", v) for v in value)
+    if least is None or value is None:
+        return False
+    if isinstance(value, float) and math.isnan(value):
+        return True
+    try:
+        return {"=": least <= value <= greatest, ">": greatest >= value if greatest == math.inf else greatest > value,
+                ">=": greatest >= value, "<": least < value, "<=": least <= value}[relation]
+    except TypeError:  # values of another type: no statement
+        return True
+
+
+def batches_to_read(index: pa.Table, start: int, end: int, limits=()) -> list[int]:
+    """Rows of the index: record batches that start in a range of bytes and may hold wanted rows."""
+    wanted = [i for i, (d, at) in enumerate(zip(index["dictionary"].to_pylist(), index["offset"].to_pylist()))
+              if not d and start <= at < end]
+    for column, relation, value in limits:
+        if f"min.{column}" in index.column_names:
+            least, greatest = index[f"min.{column}"], index[f"max.{column}"]
+            wanted = [i for i in wanted if _can_meet(least[i].as_py(), greatest[i].as_py(), relation, value)]
+    return wanted
+
+
+def build_index(spark: SparkSession, path: str) -> int:
+    """Index the files under ``path`` that have no index yet, one task a file; the number of files indexed."""
+    path = qualified(spark, path)
+    system, _ = _open(path)
+    missing = [(f.path, f.size) for f in _files(path) if _load_index(system, f.path, f.size) is None]
+    if not missing:
+        return 0
+
+    def run(batches):
+        system, _ = _open(path)
+        for batch in batches:
+            for file, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with system.open_input_file(file) as source:
+                    index = _indexed(source)
+                _write_index(system, index_path(file), index, size)
+                yield pa.RecordBatch.from_arrays([pa.array([len(index.rows)], pa.int64())], names=["messages"])
+
+    files = spark.createDataFrame(missing, "file string, size long").repartition(len(missing), "file")
+    return files.mapInArrow(run, "messages long").count()
+
+
+def _indexed(source: pa.NativeFile) -> Index:
+    """Reads a whole file once, a message at a time."""
+    reader = pa.ipc.open_stream(source)
+    index, position = Index(reader.schema), 0
+    places = []
+    while (length := _message_length(source, position)) is not None:
+        source.seek(position)
+        places.append((pa.ipc.read_message(source).type, position, length))
+        position += length
+    source.seek(0)
+    batches = iter(pa.ipc.open_stream(source))
+    for kind, position, length in places:
+        if kind == "dictionary":
+            index.dictionary(position, length)
+        elif kind == "record batch":
+            index.batch(position, length, next(batches))
+    return index
+
+
+def _write_index(system: pafs.FileSystem, path: str, index: Index, size: int) -> None:
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    draft = f"{path.rpartition('/')[0]}/_{uuid.uuid4().hex[:12]}"
+    with system.open_output_stream(draft) as sink:
+        pq.write_table(index.table(size), sink)
+    system.move(draft, path)
+
+
+# --- reading ----------------------------------------------------------------------
+
+class _Messages(io.RawIOBase):
+    """Some ranges of a file as one stream, read as they are asked for."""
+
+    def __init__(self, source: pa.NativeFile, ranges: list[tuple[int, int]]) -> None:
+        self.source, self.ranges, self.at = source, ranges, 0
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, target) -> int:
+        while self.ranges:
+            offset, length = self.ranges[0]
+            if self.at == length:
+                self.ranges, self.at = self.ranges[1:], 0
+                continue
+            self.source.seek(offset + self.at)
+            data = self.source.read(min(len(target), length - self.at))
+            target[:len(data)] = data
+            self.at += len(data)
+            return len(data)
+        return 0
+
+
+def _read_split(path: str, split: Split, wanted: pa.Schema, limits=()) -> Iterator[pa.RecordBatch]:
     """The record batches whose message starts inside the split."""
     system, _ = _open(path)
     with system.open_input_file(split.path) as source:
-        size = source.size()
-        schema = pa.ipc.read_schema(pa.ipc.read_message(source))
-        if any(pa.types.is_dictionary(f.type) for f in schema):
-            # Batches of a dictionary-coded file need what stands before them.
-            if split.start == 0:
-                source.seek(0)
-                for batch in pa.ipc.open_stream(source):
-                    yield _conformed(batch, wanted)
+        index = _load_index(system, split.path, source.size())
+        if index is None:
+            yield from _stepped(source, split, wanted)
+            return
+        rows = batches_to_read(index, split.start, split.end, limits)
+        if not rows:
+            return
+        offsets, lengths = index["offset"].to_pylist(), index["length"].to_pylist()
+        before = [i for i, d in enumerate(index["dictionary"].to_pylist()) if d and i < rows[-1]]
+        ranges = [(0, min(offsets)), *((offsets[i], lengths[i]) for i in sorted([*before, *rows]))]
+        for batch in pa.ipc.open_stream(io.BufferedReader(_Messages(source, ranges), 1 << 20)):
+            yield _conformed(batch, wanted)
+
+
+def _stepped(source: pa.NativeFile, split: Split, wanted: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of a split of a file without an index, found by the headers of all messages before them."""
+    size = source.size()
+    schema = pa.ipc.read_schema(pa.ipc.read_message(source))
+    if any(pa.types.is_dictionary(f.type) for f in schema):
+        # Batches of a dictionary-coded file need what stands before them.
+        if split.start == 0:
+            source.seek(0)
+            for batch in pa.ipc.open_stream(source):
+                yield _conformed(batch, wanted)
+        return
+    position = source.tell()
+    while position < min(split.end, size):
+        length = _message_length(source, position)
+        if length is None:
             return
-        position = source.tell()
-        while position < min(split.end, size):
-            length = _message_length(source, position)
-            if length is None:
-                return
-            if position >= split.start:
-                source.seek(position)
-                yield _conformed(pa.ipc.read_record_batch(pa.ipc.read_message(source), schema), wanted)
-            position += length
+        if position >= split.start:
+            source.seek(position)
+            yield _conformed(pa.ipc.read_record_batch(pa.ipc.read_message(source), schema), wanted)
+        position += length
 
 
 def _message_length(source: pa.NativeFile, position: int) -> int | None:
@@ -299,9 +504,16 @@ class ArrowStreamWriter(DataSourceArrowWriter):
         rows = 0
         with system.open_output_stream(f"{self._staging(root)}/{name}") as sink, \
                 pa.ipc.new_stream(sink, self.wanted) as out:
+            index = Index(self.wanted)
             for batch in _rebatched(iterator, self.wanted, self.batch_rows):
+                # the message of the schema is written with the first batch
+                begin = sink.tell() or len(self.wanted.serialize())
                 out.write_batch(batch)
+                index.batch(begin, sink.tell() - begin, batch)
                 rows += batch.num_rows
+        staged = f"{self._staging(root)}/{name}"
+        with system.open_output_stream(f"{staged}.index") as sink:
+            pq.write_table(index.table(system.get_file_info(staged).size), sink)
         return Written(name, rows)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -311,10 +523,15 @@ class ArrowStreamWriter(DataSourceArrowWriter):
         for message in done:
             final = message.name.rsplit("-", 1)[0] + SUFFIX
             if message.rows or message is done[0]:
+                system.create_dir(f"{root}/{INDEX}", recursive=True)
+                # An index without its file does no harm; a file that appears has its index.
+                system.move(f"{self._staging(root)}/{message.name}.index", index_path(f"{root}/{final}"))
                 system.move(f"{self._staging(root)}/{message.name}", f"{root}/{final}")
         # The new files are in place before the old ones go; names hold the job, so none is overwritten.
         for old in before:
             system.delete_file(old.path)
+            if system.get_file_info(index_path(old.path)).type == pafs.FileType.File:
+                system.delete_file(index_path(old.path))
         if system.get_file_info(self._staging(root)).type != pafs.FileType.NotFound:
             system.delete_dir(self._staging(root))
         system.create_dir(root, recursive=True)

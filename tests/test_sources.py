@@ -176,3 +176,97 @@ def test_paysim_order_over_files_of_uneven_size(spark, tmp_path):
         assert got.where("seq <> account").isEmpty() and got.count() == count
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", width)
+
+
+# --- index of record batches -------------------------------------------------------
+
+from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThanOrEqual  # noqa: E402
+
+
+def reader_of(spark, path, filters=(), width="4000"):
+    """A reader as the planner makes it, and how many batches it reads for these filters."""
+    schema = arrow_stream.read(spark, path).schema
+    reader = arrow_stream.FilteringReader(schema, {"path": path, "split_bytes": width})
+    assert list(reader.pushFilters(list(filters))) == list(filters)
+    return [b for split in reader.partitions() for b in reader.read(split)]
+
+
+def test_batches_are_found_without_stepping(spark, rows, path, monkeypatch):
+    arrow_stream.write(rows.coalesce(1), path, batch_size=64)
+    monkeypatch.setattr(arrow_stream, "_message_length", None)  # a walk over headers would fail
+    batches = reader_of(spark, path)
+    assert len(batches) == -(-rows.count() // 64) and sum(b.num_rows for b in batches) == rows.count()
+
+
+def test_batches_that_cannot_match_are_skipped(spark, rows, path):
+    arrow_stream.write(rows.coalesce(1).sortWithinPartitions("seq"), path, batch_size=50)
+    every = reader_of(spark, path)
+    few = reader_of(spark, path, [GreaterThan(("seq",), 900), LessThanOrEqual(("seq",), 950)])
+    assert len(few) <= 2 < len(every) == 20
+    assert {s for b in few for s in b.column("seq").to_pylist()} >= set(range(901, 951))
+    assert len(reader_of(spark, path, [In(("seq",), (3, 4, 777))])) == 2
+    assert reader_of(spark, path, [EqualTo(("merchant",), "zzz")]) == []
+    assert len(reader_of(spark, path, [EqualTo(("nested", "x"), 1)])) == 20
+
+
+def test_filters_reach_the_source(spark, rows, path):
+    arrow_stream.write(rows.repartitionByRange(2, "seq"), path, batch_size=50)
+    spark.conf.set(arrow_stream.PUSHDOWN, "true")
+    try:
+        got = arrow_stream.read(spark, path).where("seq > 800 and account in (1, 2, 3) and amount < 100")
+        assert same(got, rows.where("seq > 800 and account in (1, 2, 3) and amount < 100"))
+        assert arrow_stream.read(spark, path).where("seq < 0").count() == 0
+    finally:
+        spark.conf.unset(arrow_stream.PUSHDOWN)
+
+
+def test_values_without_order(spark, tmp_path):
+    """NaN is larger than any number, nulls match nothing."""
+    file = str(tmp_path / "odd.arrows")
+    schema = pa.schema([("x", pa.float64()), ("i", pa.int32())])
+    with pa.ipc.new_stream(file, schema) as out:
+        for xs in ([1.0, 2.0], [float("nan"), 1.0], [None, None], [float("nan")] * 2):
+            out.write_table(pa.table({"x": xs, "i": [1, None]}, schema))
+    assert arrow_stream.build_index(spark, str(tmp_path)) == 1 and arrow_stream.build_index(spark, str(tmp_path)) == 0
+    assert len(reader_of(spark, file, [GreaterThan(("x",), 5.0)])) == 2
+    assert len(reader_of(spark, file, [LessThanOrEqual(("x",), 1.5)])) == 2
+    assert len(reader_of(spark, file, [EqualTo(("x",), float("nan"))])) == 3
+    assert len(reader_of(spark, file, [EqualTo(("i",), 1)])) == 4 and reader_of(spark, file, [EqualTo(("i",), 2)]) == []
+
+
+def test_dictionary_files_are_split(spark, tmp_path):
+    """Batches far into a dictionary-coded file, with dictionaries that are replaced on the way."""
+    file = str(tmp_path / "coded.arrows")
+    schema = pa.schema([("account", pa.int64()), ("code", pa.dictionary(pa.int8(), pa.string()))])
+    with pa.ipc.new_stream(file, schema) as out:
+        for k in range(12):
+            codes = pa.array([f"x{k // 3}", f"y{k // 3}"] * 5).dictionary_encode().cast(schema.field("code").type)
+            out.write_batch(pa.record_batch([pa.array(range(10 * k, 10 * k + 10)), codes], schema=schema))
+    want = sorted((r.account, r.code) for r in arrow_stream.read(spark, file).collect())
+    assert arrow_stream.build_index(spark, file) == 1
+    reader = arrow_stream.ArrowStreamReader(arrow_stream.read(spark, file).schema, {"path": file, "split_bytes": "700"})
+    parts = [[b.to_pylist() for b in reader.read(split)] for split in reader.partitions()]
+    assert sum(bool(p) for p in parts) >= 3
+    assert sorted((r["account"], r["code"]) for p in parts for b in p for r in b) == want
+
+
+def test_an_index_of_other_content_is_not_used(spark, rows, path):
+    arrow_stream.write(rows.coalesce(1), path, batch_size=64)
+    file = files_of(path)[0]
+    with open(file, "rb") as source:
+        kept = pa.ipc.open_stream(source.read()).read_all().slice(0, 70)
+    with pa.ipc.new_stream(file, kept.schema) as out:
+        out.write_table(kept)
+    assert arrow_stream.read(spark, path).count() == 70
+    assert arrow_stream.build_index(spark, path) == 1 and sum(b.num_rows for b in reader_of(spark, path)) == 70
+
+
+def test_the_sink_and_the_builder_agree(spark, rows, path):
+    import pyarrow.parquet as pq
+
+    arrow_stream.write(rows.coalesce(1), path, batch_size=64)
+    index = arrow_stream.index_path(files_of(path)[0])
+    written = pq.read_table(index)
+    os.remove(index)
+    assert arrow_stream.build_index(spark, path) == 1
+    assert pq.read_table(index).equals(written) and written.num_rows == -(-rows.count() // 64)
