@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pacewise.llm.scale import components, small_side
-from pacewise.llm.words import mix, shingle_sets
+from pacewise.llm.words import give_back, mix, shingle_sets, tidy
 from pacewise.session import reliable
 
 ROUNDS = 3              # minimum hashes that propose group leaders
@@ -141,7 +141,7 @@ def _linked(documents: DataFrame, routes: DataFrame, words: int, percent: int) -
     per_doc = reliable(routes.groupBy("doc", some.alias("some"))
                        .agg(F.collect_list(F.struct("grp", "piece", "part", "query")).alias("routes")))
     sets = (documents.join(small_side(per_doc, F.size("routes") * 40 + 64), "doc").select("doc", "text", "routes")
-            .mapInArrow(_routed_sets(words), _SET))
+            .mapInArrow(tidy(_routed_sets(words)), _SET))
     return sets.groupBy("grp", "piece", "part").applyInArrow(_verified(percent), "a long, b long")
 
 
@@ -204,7 +204,7 @@ def frequent_tokens(documents: DataFrame, words: int, total: int) -> np.ndarray:
     """Sorted shingles that are frequent in a sample of the documents; they only order the matrix."""
     buckets = max(1, -(-total // SAMPLED // BUCKET_ROWS))
     sample = documents.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLED)) == 0).select("text")
-    often = (sample.mapInArrow(_sampled_tokens(words, buckets), "bucket int, tokens binary")
+    often = (sample.mapInArrow(tidy(_sampled_tokens(words, buckets)), "bucket int, tokens binary")
              .groupBy("bucket").applyInArrow(_often, "token long, times long"))
     top = often.orderBy(F.desc("times"), "token").limit(MOST_FREQUENT).select("token").toArrow()
     return np.sort(top.column(0).to_numpy().view(np.uint64))
@@ -310,6 +310,7 @@ def _meetings(percent: int):
             keep = ~one | ((m * 100 >= n * percent) & (n * 100 >= m * percent))
             yield _counted(x, q[keep], g[keep], one[keep])
             at = end
+        give_back()
     return run
 
 
@@ -351,7 +352,7 @@ def _opened(documents: DataFrame, members: DataFrame, groups: DataFrame, words:
     placed = (documents.join(small_side(members, 64), "doc", "left")
               .where(F.coalesce(~F.col("copy"), F.lit(True)))
               .select("doc", "text", F.coalesce("grp", "doc").alias("grp"), F.coalesce("size", F.lit(1)).alias("size")))
-    entries = placed.mapInArrow(_entries(words, percent, buckets, frequent), "bucket int, rows int, entries binary")
+    entries = placed.mapInArrow(tidy(_entries(words, percent, buckets, frequent)), "bucket int, rows int, entries binary")
     met = (entries.groupBy("bucket").applyInArrow(_meetings(percent), _MEET).groupBy("q", "g")
            .agg(F.sum("c").alias("c"), *[F.max(k).alias(k) for k in ("i", "j", "n", "m", "eq", "es")]))
     opened = reliable(met.join(groups.select(F.col("grp").alias("g"), "lo", "hi"), "g", "left")
@@ -382,7 +383,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80,
     links, ``class_id`` the smallest id with the same set.
     """
     rows = documents.select(F.col(f"`{id_column}`").cast("long").alias("doc"), F.col(f"`{text_column}`").alias("text"))
-    sketch = reliable(rows.mapInArrow(_sketches(words), _SKETCH))
+    sketch = reliable(rows.mapInArrow(tidy(_sketches(words)), _SKETCH))
     filled = sketch.where("n > 0 and doc is not null")
     classes = reliable(filled.groupBy("d1", "d2", "n").agg(F.min("doc").alias("doc"), F.max("mins").alias("mins"),
                                                            F.count(F.lit(1)).alias("copies")))

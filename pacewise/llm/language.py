@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pacewise.llm.words import slices
+from pacewise.llm.words import slices, tidy
 from pacewise.session import reliable
 
 UNKNOWN = "und"
@@ -167,11 +167,11 @@ def fit(documents: DataFrame, most: int = FIT_DOCUMENTS) -> LanguageModel:
     if count > most:
         share = int(most / count * (1 << 30))
         usable = usable.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.lit(1 << 30)) < share)
-    words = reliable(usable.select("lang", "text").mapInArrow(_counts, "lang string, item string, times long")
+    words = reliable(usable.select("lang", "text").mapInArrow(tidy(_counts), "lang string, item string, times long")
                      .groupBy("lang", "item").agg(F.sum("times").alias("times")))
     # an unseen word is scored by grams learned from rare and common words alike: types, not tokens
     grams = (words.select("lang", "item", F.least(F.col("times"), F.lit(20)).alias("times"))
-             .mapInArrow(_gram_counts, "lang string, item string, times long")
+             .mapInArrow(tidy(_gram_counts), "lang string, item string, times long")
              .groupBy("lang", "item").agg(F.sum("times").alias("times")))
     word_table, word_totals = _top(words, MODEL_WORDS)
     gram_table, _ = _top(grams, MODEL_GRAMS)
@@ -220,7 +220,7 @@ def predict(documents: DataFrame, model: LanguageModel, keep: tuple[str, ...] =
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                                              names=[*batch.schema.names[:width], *names])
 
-    return rows.mapInArrow(run, T.StructType(fields))
+    return rows.mapInArrow(tidy(run), T.StructType(fields))
 
 
 def identified(documents: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pacewise.llm.words import chunks, long_hashes, mix, powers, slices
+from pacewise.llm.words import chunks, give_back, long_hashes, mix, mix_in_place, powers, slices, tidy
 from pacewise.session import reliable
 
 WIDTH = 50
@@ -55,21 +55,32 @@ def _segments_of(data: np.ndarray, offsets: np.ndarray, width: int, k: int):
     none = np.zeros(0, np.int64)
     if len(data) < width:
         return none.view(np.uint64), none, none, none, none.view(np.uint64)
-    power, inverse = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:len(data)], out=sums[1:])
-    hashes = mix((sums[k:] - sums[:-k]) * inverse[:len(data) - k + 1])
-    least = _sliding_min(hashes, width - k + 1)
-    sizes = np.diff(offsets)
-    row = np.repeat(np.arange(len(sizes)), sizes)[:len(least)]
-    inside = np.arange(len(least)) + width <= offsets[row + 1]
+    sums, inverse = _sums(data)
+    hashes = sums[k:] - sums[:-k]
+    hashes *= inverse[:len(hashes)]
+    least = _sliding_min(mix_in_place(hashes), width - k + 1)
+    # windows that start in the last bytes of a text cross its end
+    inside = np.ones(len(least), bool)
+    crossing = (offsets[1:, None] - np.arange(1, width)).ravel()
+    inside[crossing[(crossing >= 0) & (crossing < len(least))]] = False
     begins = inside.copy()
-    begins[1:] &= (least[1:] != least[:-1]) | ~inside[:-1] | (row[1:] != row[:-1])
+    begins[1:] &= (least[1:] != least[:-1]) | ~inside[:-1]
     ends = inside.copy()
     ends[:-1] &= begins[1:] | ~inside[1:]
     begin, end = np.flatnonzero(begins), np.flatnonzero(ends) + width
     content = long_hashes(mix((sums[end] - sums[begin]) * inverse[begin]), data, begin, end)
-    return least[begin], row[begin], begin, end, content
+    return least[begin], np.searchsorted(offsets, begin, "right") - 1, begin, end, content
+
+
+def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of the bytes times the powers of the hash base, and the inverse powers."""
+    power, inverse = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    sums[1:] = data
+    sums[1:] += np.uint64(1)
+    sums[1:] *= power[:len(data)]
+    np.cumsum(sums[1:], out=sums[1:])
+    return sums, inverse
 
 
 def _first_of_equal(key: np.ndarray, size: np.ndarray, content: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -237,9 +248,7 @@ def _repeats(doc, begin, size, text, width: int):
 def _in_stretch(key, doc, begin, size, text, width: int):
     """Spans that go among segments in order of document: equal segments at once, the rest by the index."""
     place = np.r_[0, np.cumsum(size)[:-1]]
-    power, inverse = powers(len(text) + 1)
-    sums = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * power[:len(text)], out=sums[1:])
+    sums, inverse = _sums(text)
     content = long_hashes(mix((sums[place + size] - sums[place]) * inverse[place]), text, place, place + size)
     settled = doc > _first_of_equal(key, size, content, doc)
     rest = ~settled
@@ -280,6 +289,8 @@ def _indexed(width: int, parts: int):
             found += _in_stretch(key[mine], doc[mine], begin[mine], size[mine], ragged(text, place[mine], size[mine]), width)
             at = end
         d, b, e = _merged(*(np.concatenate([x[i] for x in found]) for i in range(3)))
+        del held, texts, text, found
+        give_back()
         return pa.Table.from_batches([_span_batch(d, b, e, parts, pack)])
     return run
 
@@ -303,7 +314,7 @@ def repeated_spans(documents: DataFrame, width: int = WIDTH, id_column: str = "d
     rows = rows.where(F.col("doc").isNotNull())
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets, parts = max(1, -(-total // BUCKET_BYTES)), max(1, -(-total // (64 * BUCKET_BYTES)))
-    shipped = rows.mapInArrow(_shipped(width, min(KEY_BYTES, width), buckets, parts), _SEGMENTS)
+    shipped = rows.mapInArrow(tidy(_shipped(width, min(KEY_BYTES, width), buckets, parts)), _SEGMENTS)
     # The negative buckets hold settled spans; they need no index, but go the same way.
     both = shipped.groupBy("bucket").applyInArrow(_either(width, parts), _SEGMENTS)
     return both.groupBy("bucket").applyInArrow(_put_together, "doc long, begins array<long>, ends array<long>")

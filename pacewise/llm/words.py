@@ -8,7 +8,9 @@ so strings of more than ``LONG`` bytes are hashed by blake2b.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
 from hashlib import blake2b
 
 import numpy as np
@@ -36,11 +38,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def mix_in_place(h: np.ndarray) -> np.ndarray:
+    """:func:`mix` with one array of scratch space."""
+    scratch = h >> np.uint64(30)
+    h ^= scratch
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    np.right_shift(h, np.uint64(27), out=scratch)
+    h ^= scratch
+    h *= np.uint64(0x94D049BB133111EB)
+    np.right_shift(h, np.uint64(31), out=scratch)
+    h ^= scratch
+    return h
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2**64, at least ``n`` of each."""
     global _powers, _inverse
     if len(_powers) < n:
-        size = 1 << (n - 1).bit_length()
+        size = -(-n // (1 << 16)) << 16
         back = pow(_BASE, -1, 1 << 64)
         _powers = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, _BASE, np.uint64)])
         _inverse = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, back, np.uint64)])
@@ -81,6 +96,28 @@ def slices(batches, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, rows)
 
 
+@cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # not glibc
+        return lambda keep: 0
+
+
+def give_back() -> None:
+    """Freed memory back to the system, since later stages use the same Python worker."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def tidy(run):
+    """``run`` over batches; what it freed goes back to the system at its end."""
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+    return wrapped
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each text the index of its first word (one more at the end)."""
     solid = ~breaks[data]
@@ -103,8 +140,10 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
         return np.zeros(0, np.uint64)
     power, inverse = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER[data] if lower else data).astype(np.uint64) * power[:len(data)] + power[:len(data)],
-              out=sums[1:])
+    sums[1:] = _LOWER[data] if lower else data
+    sums[1:] += np.uint64(1)
+    sums[1:] *= power[:len(data)]
+    np.cumsum(sums[1:], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
     return long_hashes(hashes, _LOWER[data] if lower and (ends - starts > LONG).any() else data, starts, ends)
 
