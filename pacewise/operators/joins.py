@@ -35,7 +35,7 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
 
 
 def join_dimension(facts: DataFrame, dimension: DataFrame, on: str, how: str = "left",
-                   limit: int = BROADCAST_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
+                   limit: int = BROADCAST_BYTES, hot_rows: int = HOT_ROWS, unique: str | None = None) -> DataFrame:
     """Equi-join with a dimension that has one row per key.
 
     A dimension measured to be small is broadcast and the facts stay in place. A
@@ -45,22 +45,24 @@ def join_dimension(facts: DataFrame, dimension: DataFrame, on: str, how: str = "
         raise ValueError("a dimension join is 'left' or 'inner'")
     if fits_broadcast(dimension, limit):
         return facts.join(F.broadcast(dimension), on, how)
-    return salted_join(facts, dimension, on, how, hot_rows)
+    return salted_join(facts, dimension, on, how, hot_rows, unique)
 
 
 def salted_join(facts: DataFrame, dimension: DataFrame, on: str, how: str = "left",
-                hot_rows: int = HOT_ROWS) -> DataFrame:
+                hot_rows: int = HOT_ROWS, unique: str | None = None) -> DataFrame:
     """Shuffled join where the rows of a hot key go to several tasks.
 
     At most (all rows / hot_rows) keys are hot, which bounds what is broadcast; only
-    their dimension rows are repeated.
+    their dimension rows are repeated. Name a ``unique`` column of the facts where their rows may come in another order
+    when a task runs again, as after a shuffle: the salt then depends on that column alone.
     """
     hot = (facts.groupBy(on).agg(F.count(F.lit(1)).alias("__size"))
            .where((F.col("__size") >= hot_rows) & F.col(on).isNotNull())
            .select(on, (F.ceil(F.col("__size") / hot_rows) + 1).cast("int").alias("__salts")))
     salts = F.coalesce(F.col("__salts"), F.lit(1))
-    # Seeded: equal rows get different salts, and a task that runs again over the same rows repeats them.
-    spread = (facts.withColumn("__draw", F.rand(SALT_SEED)).join(F.broadcast(hot), on, "left")
+    # Seeded: equal rows get different salts, and a task that runs again over rows in the same order repeats them.
+    draw = F.rand(SALT_SEED) if unique is None else F.pmod(F.xxhash64(unique, F.lit(SALT_SEED)), F.lit(1 << 20)) / (1 << 20)
+    spread = (facts.withColumn("__draw", draw).join(F.broadcast(hot), on, "left")
               .withColumn("__salt", F.floor(F.col("__draw") * salts).cast("int")).drop("__salts", "__draw"))
     copies = (dimension.join(F.broadcast(hot), on, "left")
               .withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts"))

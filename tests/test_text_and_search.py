@@ -122,3 +122,14 @@ def test_dimension_is_measured_before_it_is_broadcast(skewed):
     assert "strategy=broadcast" in plan(join_dimension(facts, dim, "k"))
     assert "__salt" in plan(join_dimension(facts, dim, "k", limit=10))
     assert measured_bytes(dim) == 40 * 32 + sum(len(f"n{i}") for i in range(40))
+
+
+def test_salt_of_a_unique_column_does_not_depend_on_row_order(skewed):
+    facts, dim = skewed
+    facts = facts.selectExpr("*", "row_number() over (order by k) AS row")
+    plain = facts.join(dim, "k", "left")
+    for ordered in (facts.repartition(3).sortWithinPartitions("row"), facts.repartition(5).sortWithinPartitions(F.desc("row"))):
+        salted = salted_join(ordered, dim, "k", "left", hot_rows=100, unique="row")
+        assert salted.exceptAll(plain.select(*salted.columns)).isEmpty() and salted.count() == plain.count()
+        text = salted._jdf.queryExecution().toString()
+        assert "xxhash64" in text and "rand(" not in text
