@@ -50,11 +50,11 @@ def arrow_stream_rows_written(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("arrow_stream_followed", f"WITH {TXN} SELECT {_ROW} FROM txn")
 def arrow_stream_followed(spark: SparkSession, sf: str) -> DataFrame:
-    """A stream over Arrow files that are appended between its runs, one restart after each."""
+    """A stream over Arrow files that are appended between its runs, one restart after each; a manifest says what was taken."""
     root = shared_dir(spark, "arrow-followed")
     for part in range(3):
         arrow_stream.write(event_rows(spark, sf).where(F.col("seq") % 3 == part), f"{root}/landed")
-        stream = arrow_stream.follow(spark, f"{root}/landed")
+        stream = arrow_stream.follow(spark, f"{root}/landed", progress=f"{root}/progress")
         (stream.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint")
          .trigger(availableNow=True).start(f"{root}/taken").awaitTermination())
     return spark.read.schema(stream.schema).parquet(f"{root}/taken")

@@ -17,6 +17,7 @@ from __future__ import annotations
 import io
 import json
 import math
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -54,8 +55,10 @@ def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
 
 
 def follow(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """The files under ``path`` as a stream."""
+    """The files under ``path`` as a stream; with ``progress``, a folder of this stream alone, by a manifest."""
     register(spark)
+    if "progress" in options:
+        options["progress"] = qualified(spark, options["progress"])
     return spark.readStream.format(FORMAT).options(**options).load(qualified(spark, path))
 
 
@@ -111,7 +114,7 @@ class Split(InputPartition):
 
 
 class ArrowStreamSource(DataSource):
-    """Options: ``path``, ``split_bytes``, ``batch_size``, ``files_per_trigger``, ``push_filters``."""
+    """Options: ``path``, ``split_bytes``, ``batch_size``, ``push_filters``; of a stream ``progress``, ``files_per_trigger``, ``grace_seconds``."""
 
     @classmethod
     def name(cls) -> str:
@@ -131,6 +134,10 @@ class ArrowStreamSource(DataSource):
         return (FilteringReader if pushes else ArrowStreamReader)(schema, self.options)
 
     def streamReader(self, schema):
+        if "progress" in self.options:
+            return ManifestFollower(schema, self.options)
+        if int(self.options.get("files_per_trigger", 0)):
+            raise ValueError("files_per_trigger needs the option progress, a folder of this stream alone")
         return ArrowStreamFollower(schema, self.options)
 
     def writer(self, schema, overwrite):
@@ -178,40 +185,14 @@ class ArrowStreamFollower(DataSourceStreamReader):
     An offset is the newest modification time taken and the names taken in the ``grace`` before it. A file
     is new if it is younger than that, or within the grace and not named, so a file that appears with a smaller name or
     that a slow job moved into place later is still read. One that appears with a time older than the grace
-    (a day unless the option ``grace_seconds`` says otherwise) is not.
-
-    ``files_per_trigger`` bounds a micro-batch. Spark does not tell a reader that starts again where it stopped, so
-    this needs ``progress``, a folder of this stream alone, where the reader notes what it handed out.
+    (a day unless the option ``grace_seconds`` says otherwise) is not; :class:`ManifestFollower` takes these too.
     """
 
     def __init__(self, schema, options) -> None:
         self.wanted = to_arrow_schema(schema)
         self.path = options["path"]
         self.width = int(options.get("split_bytes", SPLIT_BYTES))
-        self.limit = int(options.get("files_per_trigger", 0))
         self.grace = int(float(options.get("grace_seconds", GRACE_SECONDS)) * 1e9)
-        self.progress = options.get("progress")
-        if self.limit and not self.progress:
-            raise ValueError("files_per_trigger needs the option progress, a folder of this stream alone")
-        self.taken: dict | None = None
-
-    def _noted(self) -> dict:
-        """What was handed out last, also by a reader before this one."""
-        if self.taken is None and self.limit:
-            system, root = _open(self.progress)
-            if system.get_file_info(f"{root}/taken.json").type == pafs.FileType.File:
-                with system.open_input_stream(f"{root}/taken.json") as source:
-                    self.taken = json.loads(source.read())
-        return self.taken or {"time": 0, "names": {}}
-
-    def _note(self, offset: dict) -> None:
-        self.taken = offset
-        if self.limit:
-            system, root = _open(self.progress)
-            system.create_dir(root, recursive=True)
-            with system.open_output_stream(f"{root}/taken.tmp") as sink:
-                sink.write(json.dumps(offset).encode())
-            system.move(f"{root}/taken.tmp", f"{root}/taken.json")
 
     def _there(self) -> list[pafs.FileInfo]:
         return sorted(_files(self.path), key=lambda f: (f.mtime_ns, f.path))
@@ -219,21 +200,15 @@ class ArrowStreamFollower(DataSourceStreamReader):
     def _has(self, offset: dict, file: pafs.FileInfo) -> bool:
         return file.mtime_ns <= offset["time"] - self.grace or file.path in offset["names"]
 
-    def _after(self, offset: dict, files: list[pafs.FileInfo]) -> dict:
-        time = max([offset["time"], *(f.mtime_ns for f in files)])
-        names = offset["names"] | {f.path: f.mtime_ns for f in files}
-        return {"time": time, "names": {n: t for n, t in names.items() if t > time - self.grace}}
-
     def initialOffset(self) -> dict:
         return {"time": 0, "names": {}}
 
     def latestOffset(self) -> dict:
-        before = self._noted()
-        new = [f for f in self._there() if not self._has(before, f)]
-        return self._after(before, new[:self.limit] if self.limit else new)
+        files = self._there()
+        time = max([0, *(f.mtime_ns for f in files)])
+        return {"time": time, "names": {f.path: f.mtime_ns for f in files if f.mtime_ns > time - self.grace}}
 
     def partitions(self, start: dict, end: dict) -> list[Split]:
-        self._note(end)
         return _splits([f for f in self._there() if self._has(end, f) and not self._has(start, f)], self.width)
 
     def commit(self, end: dict) -> None:
@@ -243,6 +218,111 @@ class ArrowStreamFollower(DataSourceStreamReader):
         return _read_split(self.path, partition, self.wanted)
 
 
+class ManifestFollower(DataSourceStreamReader):
+    """Each file is read once, whatever its name and time, by a manifest in the folder ``progress``.
+
+    The manifest lists the files taken, in the order in which they were taken, and is only appended to: an entry
+    ``<first>-<end>.json`` holds the files of these numbers. An offset is the number of files taken, so its size does
+    not grow, and a batch is a range of numbers, the same after any restart. The folder belongs to one stream, as its
+    checkpoint does; a new stream needs a new one. ``files_per_trigger`` bounds a micro-batch.
+    """
+
+    def __init__(self, schema, options) -> None:
+        self.wanted = to_arrow_schema(schema)
+        self.path, self.progress = options["path"], options["progress"]
+        self.width = int(options.get("split_bytes", SPLIT_BYTES))
+        self.limit = int(options.get("files_per_trigger", 0))
+        self.manifest: Manifest | None = None
+        self.planned: int | None = None  # files that a micro-batch was planned for
+
+    def _manifest(self) -> Manifest:
+        if self.manifest is None:
+            self.manifest = Manifest(self.progress)
+            self.planned = self.manifest.planned()
+        return self.manifest
+
+    def initialOffset(self) -> dict:
+        return {"taken": 0}
+
+    def latestOffset(self) -> dict:
+        manifest = self._manifest()
+        new = sorted((f for f in _files(self.path) if f.path not in manifest.names), key=lambda f: (f.mtime_ns, f.path))
+        # what was taken but not planned, before a crash, comes first
+        room = max(0, self.limit - (len(manifest.files) - self.planned)) if self.limit else len(new)
+        manifest.append([(f.path, f.size) for f in new[:room]])
+        return {"taken": len(manifest.files)}
+
+    def partitions(self, start: dict, end: dict) -> list[Split]:
+        manifest = self._manifest()
+        if end["taken"] > len(manifest.files):
+            raise ValueError(f"{self.progress} lists {len(manifest.files)} files, the checkpoint {end['taken']}: not of this stream")
+        if end["taken"] > self.planned:
+            self.planned = end["taken"]
+            manifest.note_planned(self.planned)
+        return [Split(name, at, min(at + self.width, size)) for name, size in manifest.files[start["taken"]:end["taken"]]
+                for at in range(0, max(size, 1), self.width)]
+
+    def commit(self, end: dict) -> None:
+        """Nothing to release: files stay where they are."""
+
+    def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
+        return _read_split(self.path, partition, self.wanted)
+
+
+class Manifest:
+    """Numbered names and sizes of the files a stream took. Entries are joined into one when there are many."""
+
+    ENTRIES = 32
+
+    def __init__(self, folder: str) -> None:
+        self.system, self.root = _open(folder)
+        self.files: list[tuple[str, int]] = []
+        for first, end, path in self._entries():
+            if first > len(self.files):
+                raise ValueError(f"an entry of the manifest before {path} is missing")
+            if end > len(self.files):  # entries that a joined one covers say nothing new
+                with self.system.open_input_stream(path) as source:
+                    entry = json.loads(source.read())
+                self.files += [tuple(f) for f in entry["files"][len(self.files) - entry["first"]:]]
+        self.names = {name for name, _ in self.files}
+
+    def _entries(self) -> list[tuple[int, int, str]]:
+        found = self.system.get_file_info(pafs.FileSelector(self.root, allow_not_found=True))
+        bounds = [(re.fullmatch(r"(\d+)-(\d+)\.json", f.base_name), f.path) for f in found]
+        # of entries with one beginning the longest first
+        return sorted(((int(m[1]), int(m[2]), path) for m, path in bounds if m), key=lambda e: (e[0], -e[1]))
+
+    def _put(self, name: str, content: dict) -> None:
+        self.system.create_dir(self.root, recursive=True)
+        with self.system.open_output_stream(f"{self.root}/_{name}") as sink:
+            sink.write(json.dumps(content).encode())
+        self.system.move(f"{self.root}/_{name}", f"{self.root}/{name}")
+
+    def append(self, files: list[tuple[str, int]]) -> None:
+        if not files:
+            return
+        first, end = len(self.files), len(self.files) + len(files)
+        self._put(f"{first:012}-{end:012}.json", {"first": first, "files": files})
+        self.files += files
+        self.names |= {name for name, _ in files}
+        entries = self._entries()
+        if len(entries) > self.ENTRIES:
+            self._put(f"{0:012}-{len(self.files):012}.json", {"first": 0, "files": self.files})
+            for first, end, path in entries:
+                if (first, end) != (0, len(self.files)):
+                    self.system.delete_file(path)
+
+    def planned(self) -> int:
+        path = f"{self.root}/planned.json"
+        if self.system.get_file_info(path).type != pafs.FileType.File:
+            return 0
+        with self.system.open_input_stream(path) as source:
+            return json.loads(source.read())["files"]
+
+    def note_planned(self, files: int) -> None:
+        self._put("planned.json", {"files": files})
+
+
 # --- index ----------------------------------------------------------------------
 
 _LIMITS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<=", In: "in"}

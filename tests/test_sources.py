@@ -1,7 +1,9 @@
+import json
 import os
 
 import pyarrow as pa
 import pytest
+from pyspark.sql.types import StructType
 
 from pacewise.schema import TRANSACTIONS, conform, publish
 from pacewise.sources import arrow_stream
@@ -160,6 +162,63 @@ def test_a_file_moved_in_late_is_taken(spark, rows, path, tmp_path):
     assert same(spark.read.parquet(str(tmp_path / "out")), rows)
 
 
+def test_a_manifest_knows_no_grace(spark, rows, path, tmp_path):
+    """A file moved in two days after its time is taken, offsets keep their size, and a restart goes on."""
+    def take():
+        (arrow_stream.follow(spark, path, progress=str(tmp_path / "p")).writeStream.format("parquet")
+         .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination())
+
+    slow = str(tmp_path / "slow")
+    arrow_stream.write(rows.where("seq < 100").coalesce(1), slow)
+    os.utime(files_of(slow)[0], (1, os.path.getmtime(files_of(slow)[0]) - 2 * 86_400))
+    arrow_stream.write(rows.where("seq >= 100"), path)
+    take()
+    os.rename(files_of(slow)[0], f"{path}/late{arrow_stream.SUFFIX}")
+    take()
+    take()
+    assert same(spark.read.parquet(str(tmp_path / "out")), rows)
+    offsets = [open(tmp_path / "c" / "offsets" / n).read().splitlines()[-1] for n in ("0", "1")]
+    assert [set(json.loads(o)) for o in offsets] == [{"taken"}] * 2
+
+
+def follower(path, progress, **options):
+    return arrow_stream.ManifestFollower(StructType([]), {"path": path, "progress": progress, **options})
+
+
+def test_the_manifest_after_a_crash(spark, rows, path, tmp_path):
+    """Files noted but never planned come first after a restart, and count against the limit."""
+    arrow_stream.write(rows.repartition(5), path)
+    progress = str(tmp_path / "p")
+    options = {"files_per_trigger": "2"}
+    first = follower(path, progress, **options)
+    assert first.latestOffset() == {"taken": 2} == first.latestOffset()
+    lost = follower(path, progress, **options)  # the first one ended before it planned
+    assert lost.latestOffset() == {"taken": 2}
+    planned = lost.partitions({"taken": 0}, {"taken": 2})
+    assert lost.latestOffset() == {"taken": 4}
+    again = follower(path, progress, **options)
+    assert again.partitions({"taken": 0}, {"taken": 2}) == planned
+    assert again.latestOffset() == {"taken": 4}
+    rest = again.partitions({"taken": 2}, {"taken": 4})
+    assert again.latestOffset() == {"taken": 5}
+    last = again.partitions({"taken": 4}, {"taken": 5})
+    assert sorted(s.path for s in planned + rest + last) == files_of(path)
+    with pytest.raises(ValueError, match="not of this stream"):
+        follower(path, str(tmp_path / "other")).partitions({"taken": 0}, {"taken": 5})
+
+
+def test_entries_of_a_manifest_are_joined(tmp_path):
+    log = arrow_stream.Manifest(str(tmp_path))
+    for i in range(100):
+        log.append([(f"/f{i}-{j}", j) for j in range(1 + i % 3)])
+    assert len(os.listdir(tmp_path)) <= arrow_stream.Manifest.ENTRIES + 1
+    read = arrow_stream.Manifest(str(tmp_path))
+    assert read.files == [(f"/f{i}-{j}", j) for i in range(100) for j in range(1 + i % 3)] == log.files
+    # an entry that a joined one already covers, left by a crash before it was deleted
+    (tmp_path / "000000000003-000000000004.json").write_text('{"first": 3, "files": [["/f2-0", 0]]}')
+    assert arrow_stream.Manifest(str(tmp_path)).files == log.files
+
+
 def test_paysim_order_over_files_of_uneven_size(spark, tmp_path):
     head = ("step,type,amount,nameOrig,oldbalanceOrg,newbalanceOrig,nameDest,oldbalanceDest,newbalanceDest,"
             "isFraud,isFlaggedFraud\n")
