@@ -6,6 +6,10 @@ read). All pre-tokens of a batch lie in one flat array of symbols. A round finds
 lowest-ranked pair of every pre-token and applies it in all of them at once, until no pair is
 left; the symbols that survive are counted, a character without a piece as its UTF-8 bytes.
 
+A long pre-token would need a round over all its symbols for every merge of its own. From ``LONG_SYMBOLS`` on its
+pairs therefore wait in a queue by rank and place, over linked symbols, so its work grows with its length and not with
+the square of it. Such a pre-token takes about 60 bytes of memory a character.
+
 Equal pairs of a pre-token merge from the left, without overlap. Where such a round would
 create a pair ranked no later than the one applied, only the leftmost is merged in that
 pre-token, which is the order the model defines.
@@ -16,7 +20,9 @@ tokens are ordinary text. Other columns are ignored; repeated rows give repeated
 
 from __future__ import annotations
 
+import heapq
 import re
+from array import array
 from functools import cache
 
 import numpy as np
@@ -27,6 +33,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 MEMO_ENTRIES = 300_000   # pre-tokens whose counts a task remembers
 ROUND_SYMBOLS = 1 << 20  # symbols merged together
+LONG_SYMBOLS = 512       # a pre-token from here on is merged by a queue of its pairs
 LIMIT = 4096
 
 _NONE = np.int64(1) << 40
@@ -57,6 +64,7 @@ class Merger:
                 left, right = pieces.get(piece[:cut]), pieces.get(piece[cut:])
                 if left is not None and right is not None:
                     pairs[left << 24 | right] = (rank_of[scores[i]], i)
+        self.pairs = pairs
         self._table(pairs)
         self.codes = np.full(0x110000, -1, np.int32)
         for p, i in self.characters.items():
@@ -98,14 +106,53 @@ class Merger:
         """Tokens of each pre-token."""
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         out = np.zeros(len(units), np.int64)
-        ends, first = np.cumsum(sizes), 0
-        while first < len(units):
+        short = np.flatnonzero(sizes < LONG_SYMBOLS)
+        ends, first = np.cumsum(sizes[short]), 0
+        while first < len(short):
             done = ends[first - 1] if first else 0
             end = max(first + 1, int(np.searchsorted(ends, done + ROUND_SYMBOLS, "right")))
-            out[first:end] = self._merge("".join(units[first:end]), sizes[first:end])
+            some = short[first:end]
+            out[some] = self._merge("".join([units[i] for i in some]), sizes[some])
             first = end
+        for i in np.flatnonzero(sizes >= LONG_SYMBOLS):
+            out[i] = self._merge_long(units[i])
         return out
 
+    def _merge_long(self, text: str) -> int:
+        """Tokens of one pre-token: its pairs by rank, equal ones from the left, each looked up when it appears."""
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        n, codes = len(code), self.codes[code]
+        weight = 1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)
+        tokens = int(np.where(codes < 0, weight, 1).sum())
+        rank, _ = self._ranks(codes, np.zeros(n, np.int8))
+        at = np.flatnonzero(rank < _NONE)
+        waiting = np.sort(rank[at] << 32 | at).tolist()  # sorted, so a heap
+        # place n stands for both ends; it and symbols that were merged away are part of no pair
+        symbols = array("i", np.r_[codes, -1].astype(np.int32).tobytes())
+        after = array("i", np.r_[np.arange(1, n + 1), n].astype(np.int32).tobytes())
+        before = array("i", np.r_[n, np.arange(n)].astype(np.int32).tobytes())
+        pairs = self.pairs
+        while waiting:
+            first = heapq.heappop(waiting)
+            place = first & 0xFFFFFFFF
+            other = after[place]
+            left, right = symbols[place], symbols[other]
+            found = pairs.get(left << 24 | right) if left >= 0 and right >= 0 else None
+            if found is None or found[0] != first >> 32:
+                continue  # a merge beside it came first
+            made = found[1]
+            symbols[place], symbols[other] = made, -1
+            beyond = after[place] = after[other]
+            if beyond < n:
+                before[beyond] = place
+                if symbols[beyond] >= 0 and (found := pairs.get(made << 24 | symbols[beyond])):
+                    heapq.heappush(waiting, found[0] << 32 | place)
+            left = before[place]
+            if left < n and symbols[left] >= 0 and (found := pairs.get(symbols[left] << 24 | made)):
+                heapq.heappush(waiting, found[0] << 32 | left)
+            tokens -= 1
+        return tokens
+
     def _merge(self, text: str, sizes: np.ndarray) -> np.ndarray:
         code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         symbols = self.codes[code]

@@ -46,3 +46,14 @@ def test_table(docs):
             text = texts[r.doc_id] or ""
             assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), want[r.doc_id], want[r.doc_id] > 4096)
     assert tokens.token_counts(docs([]), PATH).collect() == []
+
+
+def test_long_unbroken_texts():
+    """Long pre-tokens against the library; the last one would take minutes by rounds over all its symbols."""
+    rng = random.Random(6)
+    alphabets = ["ab", "aaab", "the", "0123", "ertion", "é中a=", "abcdefghijklmnopqrstuvwxyz", "=-"]
+    texts = [" ".join("".join(rng.choice(a) for _ in range(rng.randint(tokens.LONG_SYMBOLS - 5, 1500))) for _ in range(3))
+             for a in alphabets for _ in range(8)]
+    texts += ["the" * 3001 + "é中" * 500 + "😀" * 700, "ound" * 20_000, "".join(rng.choice("ABCDEFabcdef0123456789+/") for _ in range(150_000)),
+              "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300_000))]
+    assert tokens.counted(texts, PATH, {}) == library(texts)
