@@ -38,9 +38,11 @@ from pyspark.sql import functions as F
 
 from pacewise.llm.scale import small_side
 from pacewise.session import reliable, shared_dir
+from pacewise.sources.arrow_stream import qualified
 
 PACKAGE_BYTES = 8 << 20
-RANGE_BYTES = 32 << 20   # of a package that one task reads
+RANGE_BYTES = 4 << 20    # of a package that stay together on reading
+TASK_BYTES = 64 << 20    # of packages that one task reads, about
 LEAST_PAYLOAD = 0        # smaller payloads are never revisits
 DATE = "1970-01-01T00:00:00Z"
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -145,13 +147,14 @@ class PackageReader:
             raise ValueError("not a ZIP package")
         count, length, start = struct.unpack("<HII", tail[end + 10:end + 20])
         if 0xFFFF == count or 0xFFFFFFFF in (length, start):
-            locator = tail_at + end - 20
-            mark, _, at, _ = struct.unpack("<4sIQI", self.range(locator, 20))
-            if mark != b"PK\6\7":
+            locator = tail[max(0, end - 20):end]
+            if locator[:4] == b"PK\6\7":
+                at, = struct.unpack("<Q", locator[8:16])
+                mark, *_, count, length, start = struct.unpack("<4sQHHIIQQQQ", self.range(at, 56))
+                if mark != b"PK\6\6":
+                    raise ValueError("ZIP64 end of directory is missing")
+            elif 0xFFFFFFFF in (length, start):  # 65,535 members alone need no ZIP64 record
                 raise ValueError("ZIP64 locator is missing")
-            mark, *_, count, length, start = struct.unpack("<4sQHHIIQQQQ", self.range(at, 56))
-            if mark != b"PK\6\6":
-                raise ValueError("ZIP64 end of directory is missing")
         return list(self._entries(self.range(start, length), count))
 
     @staticmethod
@@ -215,7 +218,7 @@ def decided(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
 
 def _writer(folder: str):
     def run(batches):
-        files, root = fs.FileSystem.from_uri(folder)
+        files, root = _located(folder)
         files.create_dir(root, recursive=True)
         package = Package()
 
@@ -243,14 +246,18 @@ def _writer(folder: str):
 
 def write_packages(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write ``pages (page_id, url, html)`` and return ``(package, bytes, records)``, one row per package."""
-    folder = folder or shared_dir(pages.sparkSession, "packages")
-    if "://" not in folder:
-        folder = f"file://{folder}"
+    folder = qualified(pages.sparkSession, folder or shared_dir(pages.sparkSession, "packages"))
     return reliable(decided(pages).mapInArrow(_writer(folder), "package string, bytes long, records long"))
 
 
+def _located(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and name of a qualified path; the schemes of object stores in Hadoop's spelling too."""
+    scheme, colon, rest = path.partition(":")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + colon + ("//" + rest if rest[:1] == "/" != rest[1:2] else rest))
+
+
 def _opened(path: str):
-    files, name = fs.FileSystem.from_uri(path)
+    files, name = _located(path)
     return files.open_input_file(name)
 
 
@@ -267,25 +274,37 @@ def _records(batches):
     names = [f.split()[0] for f in _RECORD.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
     source = path = None
-    for batch in batches:
-        rows, held = [], 0
-        for name, start, length in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if name != path:
-                source, path = _opened(name), name
-            source.seek(start)
-            rows.append(parsed(gzip.decompress(source.read(length))))
-            held += len(rows[-1]["payload"] or b"")
-            if held > 8 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds)], names=names)
-                rows, held = [], 0
-        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds)], names=names)
+    try:
+        for batch in batches:
+            rows, held = [], 0
+            for name, start, length in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if name != path:
+                    if source is not None:
+                        source.close()
+                    source, path = _opened(name), name
+                source.seek(start)
+                rows.append(parsed(gzip.decompress(source.read(length))))
+                held += len(rows[-1]["payload"] or b"")
+                if held > 8 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds)], names=names)
+                    rows, held = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds)], names=names)
+    finally:
+        if source is not None:
+            source.close()
 
 
 def read_packages(packages: DataFrame) -> DataFrame:
-    """Records of the packages of ``(package, bytes)``, each read by its range."""
+    """Records of the packages of ``(package, bytes)``, each read by its range.
+
+    The number of tasks follows the bytes of the packages, since the ranges that are shuffled say nothing about them.
+    """
+    spark = packages.sparkSession
     ranges = packages.select("package", "bytes").mapInArrow(_ranges, "package string, start long, length long")
+    total = packages.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
     # the records of one stretch of a package stay together and in order
-    spread = (ranges.withColumn("stretch", F.expr(f"start div {RANGE_BYTES}")).repartition("package", "stretch")
+    spread = (ranges.withColumn("stretch", F.expr(f"start div {RANGE_BYTES}")).repartition(tasks, "package", "stretch")
               .sortWithinPartitions("package", "start").select("package", "start", "length"))
     return spread.mapInArrow(_records, _RECORD)
 

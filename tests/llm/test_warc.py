@@ -105,3 +105,28 @@ def test_broken_packages():
     bad = record(1, None, b"abc", None).replace(b"abc", b"abd")
     with pytest.raises(ValueError, match="digest"):
         parsed(bad)
+
+
+def test_the_read_is_spread(spark):
+    """Names and offsets are small, so the number of tasks must not follow the bytes that are shuffled."""
+    rows = [(i, f"u{i}", f"<p>{i}</p>" * (i % 50)) for i in range(3000)]
+    records = warc.read_packages(warc.write_packages(made(spark, rows)))
+    assert records.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert records.count() == 3000
+
+
+def test_schemes():
+    assert warc._located("file:/tmp/x") == warc._located("file:///tmp/x")
+    assert warc._located("s3a://b/k?region=x")[1] == "b/k" and warc._located("s3a://b/k?region=x")[0].type_name == "s3"
+
+
+def test_as_many_members_as_16_bits_count():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", allowZip64=True) as z:
+        z.writestr("a", b"x")
+    raw = out.getvalue()
+    end = raw.rfind(b"PK\5\6")
+    entry = raw[raw.find(b"PK\1\2"):end]
+    directory = entry * 65_535
+    full = raw[:raw.find(b"PK\1\2")] + directory + raw[end:end + 8] + b"\xff\xff\xff\xff" + len(directory).to_bytes(4, "little") + raw[end + 16:]
+    assert len(PackageReader(io.BytesIO(full), len(full)).directory()) == 65_535
