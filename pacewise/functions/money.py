@@ -23,5 +23,12 @@ def from_minor_units(units: Column, decimals: int = 2) -> Column:
 
 
 def exact_sum(amount: Column, decimals: int = 2) -> Column:
-    """Sum of amounts as a double, the same for every partitioning."""
-    return from_minor_units(F.sum(minor_units(amount, decimals)), decimals)
+    """Sum of amounts as a double, the same for every partitioning; not whole minor units fail the query.
+
+    Rows only add up and keep the greatest deviation; the check is made once per group.
+    """
+    scaled = amount * float(10 ** decimals)
+    off = F.max(F.abs(scaled - F.rint(scaled)) - F.abs(scaled) * F.lit(1e-13))
+    message = F.concat(F.lit("amount is not whole in minor units, off by units: "), off.cast("string"))
+    total = from_minor_units(F.sum(F.rint(scaled).cast("long")), decimals)
+    return F.when(off > F.lit(1e-6), F.raise_error(message).cast("double")).otherwise(total)

@@ -17,11 +17,13 @@ SAMPLE_CAP = 300_000
 SEED = 7
 SAMPLE_KEY = "sample_key"
 
+# Rows of the last bin that are sorted without a second histogram.
+_SORTED = 1000
+
 # Drawn keys of 8 bytes that may be broadcast.
 BROADCAST_KEYS = 2_000_000
 
-_PREFIX_HEX = 4
-_PREFIXES = 16 ** _PREFIX_HEX
+_DIGITS = 4  # hexadecimal digits of a key by which one histogram counts
 
 
 def sample_key(seq: Column, seed: int = SEED) -> Column:
@@ -31,18 +33,32 @@ def sample_key(seq: Column, seed: int = SEED) -> Column:
 def bottom_k(df: DataFrame, k: int = SAMPLE_CAP, seed: int = SEED, seq: str = "seq") -> DataFrame:
     """A uniform sample of ``min(k, rows)`` rows without replacement.
 
-    A histogram over the first 16 bits of the keys (65,536 counts at most) tells
-    which keys can be among the k smallest. Only those rows, k plus one part in
-    65,536, are sorted and merged.
+    A histogram over the first 16 bits of the keys (65,536 counts at most) finds the bin of the k-th key, a second
+    one over the next 16 bits, of this bin alone, the bin inside it. Rows before it are in the sample
+    where they lie; only its own rows, about one part in 2^32 of all, are sorted.
     """
     keyed = df.withColumn(SAMPLE_KEY, sample_key(F.col(seq), seed))
-    prefix = F.conv(F.substring(SAMPLE_KEY, 1, _PREFIX_HEX), 16, 10).cast("int")
-    histogram = (df.select(sample_key(F.col(seq), seed).alias(SAMPLE_KEY))
-                 .groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n")))
-    upto = F.sum("n").over(Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0))
-    cutoff = (histogram.withColumn("upto", upto).where(F.col("upto") >= k)
-              .agg(F.coalesce(F.min("prefix"), F.lit(_PREFIXES))).scalar())
-    return keyed.where(prefix <= cutoff).orderBy(SAMPLE_KEY, seq).limit(k)
+    if (cut := _cut(df.select(sample_key(F.col(seq), seed).alias(SAMPLE_KEY)), k)) is None:
+        return keyed
+    prefix, wanted = cut
+    start = F.substring(SAMPLE_KEY, 1, len(prefix))
+    return keyed.where(start < prefix).unionByName(keyed.where(start == prefix).orderBy(SAMPLE_KEY, seq).limit(wanted))
+
+
+def _cut(keys: DataFrame, k: int) -> tuple[str, int] | None:
+    """First digits of the k-th key, and how many keys that begin with them are wanted; None if there are at most k keys."""
+    prefix = ""
+    for level in range(2):
+        digits = F.substring(SAMPLE_KEY, 1 + level * _DIGITS, _DIGITS)
+        counts = keys.where(F.col(SAMPLE_KEY).startswith(prefix)).groupBy(digits.alias("digits")).agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.orderBy("digits").rowsBetween(Window.unboundedPreceding, 0))  # 65,536 rows at most
+        found = counts.withColumn("upto", upto).where(F.col("upto") >= k).orderBy("upto").first()
+        if found is None:
+            return None
+        prefix, k = prefix + found["digits"], k - (found["upto"] - found["n"])
+        if found["n"] <= _SORTED:
+            break
+    return prefix, k
 
 
 def sampled_features(rows: DataFrame, k: int = SAMPLE_CAP, seed: int = SEED,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pacewise.functions.money import minor_units
 from pacewise.operators import aggregates as A
 from pacewise.operators import partials as P
 from pacewise.operators.quantiles import LATENCY_QUANTILES, approximate, nearest_rank
@@ -120,7 +121,7 @@ def stats_from_partials(spark: SparkSession, sf: str) -> DataFrame:
     """Partials per type and day, merged per type."""
     events = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
     parts = events.groupBy("event_type", "day").agg(
-        F.count("value").alias("n"), F.sum(F.rint(F.col("value") * 100).cast("long")).alias("units"),
+        F.count("value").alias("n"), F.sum(minor_units(F.col("value"))).alias("units"),
         F.min("value").alias("low"), F.max("value").alias("high"))
     return P.finish(P.merge(parts, "event_type"), "event_type").withColumn("mean", F.round("mean", 6))
 

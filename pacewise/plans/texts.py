@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pacewise.functions.money import exact_sum
 from pacewise.functions.vectors import mean_pool, normalize
 from pacewise.operators.joins import join_dimension, salted_join
 from pacewise.operators.search import best_matches, compare_hits, search_upserted, top1, upsert
@@ -237,7 +238,7 @@ def dimension_join(spark: SparkSession, sf: str) -> DataFrame:
     joined = join_dimension(joined, nations, "c_nationkey", "inner")
     return joined.groupBy("n_name").agg(
         F.count(F.lit(1)).alias("orders"),
-        (F.sum(F.rint(F.col("o_totalprice") * 100).cast("long")).cast("double") / 100.0).alias("total"))
+        exact_sum(F.col("o_totalprice")).alias("total"))
 
 
 @query("dimension_join_hot_keys", """SELECT l_orderkey, l_linenumber, l_suppkey, s_name, s_nationkey

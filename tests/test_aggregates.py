@@ -7,6 +7,7 @@ from pacewise.functions.money import exact_sum
 from pacewise.functions.predicates import compare
 from pacewise.operators import aggregates as A
 from pacewise.operators import partials as P
+from pacewise.operators import quantiles
 from pacewise.operators.quantiles import approximate, nearest_rank
 from pacewise.schema import conform, numeric, step_of
 
@@ -93,6 +94,21 @@ def test_quantiles_with_a_heavy_value(spark, q):
     assert abs(approximate(df, "v", {"q": q}).first().q - expected) <= 1
 
 
+@pytest.mark.parametrize("values", [
+    [5.0] * 4000 + [float(i) for i in range(3000)], [0.0] * 3500 + [1.0] * 3500, [float("nan")] * 3000 + [1.5 ** (i % 997) for i in range(4000)],
+    [float(i * 7919 % 6000) for i in range(6000)]])
+def test_ranges_are_narrowed(spark, monkeypatch, values):
+    """Many rounds over small samples: heavy values, two values only, NaN, long tails."""
+    monkeypatch.setattr(quantiles, "HELD_ROWS", 40)
+    monkeypatch.setattr(quantiles, "BOUND_SAMPLE", 300)
+    ordered = sorted(values, key=lambda v: (v != v, v))
+    wanted = {"a": 0.0, "b": 0.3, "c": 0.5, "d": 0.501, "e": 0.999, "f": 1.0}
+    got = nearest_rank(spark.createDataFrame([(v,) for v in values], "v double").repartition(5), "v", wanted).first()
+    for name, q in wanted.items():
+        assert str(got[name]) == str(ordered[min(len(values) - 1, math.floor(q * len(values)))])
+    assert str(got["max"]) == str(ordered[-1])
+
+
 def test_quantiles_of_nothing(few):
     assert tuple(nearest_rank(few.where("v > 9"), "v", {"q": 0.5}).first()) == (None, None)
 

@@ -1,8 +1,10 @@
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from pacewise.operators import sampling
 from pacewise.operators.ordering import every_nth, range_bounds, running_totals, with_ordinal
 from pacewise.operators.sampling import bottom_k, merge_samples, sampled_features
 from pacewise.operators.velocity import features
@@ -58,6 +60,19 @@ def test_sample_is_the_same_for_any_layout(rows):
     assert bottom_k(rows, 100, seed=8).select("seq").exceptAll(one).count() > 50
 
 
+@pytest.mark.parametrize("k", [1, 57, 1000, 4999, 5000])
+def test_only_the_last_bin_is_sorted(spark, monkeypatch, k):
+    df = spark.range(5000).withColumnRenamed("id", "seq")
+    want = sorted(range(5000), key=lambda i: hashlib.md5(f"7:{i}".encode()).hexdigest())[:k]
+    assert {r.seq for r in bottom_k(df, k).collect()} == set(want)
+    monkeypatch.setattr(sampling, "_SORTED", 0)
+    assert {r.seq for r in bottom_k(df, k).collect()} == set(want)
+    keys = df.select(sampling.sample_key(F.col("seq")).alias(sampling.SAMPLE_KEY))
+    prefix, wanted = sampling._cut(keys, k)
+    assert len(prefix) == 8 and wanted <= keys.where(F.col(sampling.SAMPLE_KEY).startswith(prefix)).count() <= 2
+    assert sampling._cut(keys, 5001) is None
+
+
 def test_small_tables_are_kept_whole(rows):
     assert bottom_k(rows, 10 ** 6).count() == rows.count()
 
