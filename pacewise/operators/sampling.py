@@ -17,7 +17,7 @@ SAMPLE_CAP = 300_000
 SEED = 7
 SAMPLE_KEY = "sample_key"
 
-# Rows of the last bin that are sorted without a second histogram.
+# Rows of a bin that are sorted without a second histogram.
 _SORTED = 1000
 
 # Drawn keys of 8 bytes that may be broadcast.
@@ -34,19 +34,17 @@ def bottom_k(df: DataFrame, k: int = SAMPLE_CAP, seed: int = SEED, seq: str = "s
     """A uniform sample of ``min(k, rows)`` rows without replacement.
 
     A histogram over the first 16 bits of the keys (65,536 counts at most) finds the bin of the k-th key, a second
-    one over the next 16 bits, of this bin alone, the bin inside it. Rows before it are in the sample
-    where they lie; only its own rows, about one part in 2^32 of all, are sorted.
+    one over the next 16 bits, of this bin alone, the bin inside it if the first holds more than ``_SORTED`` rows. Only
+    the rows up to that bin, k plus about one part in 2^32 of all, are sorted and merged.
     """
     keyed = df.withColumn(SAMPLE_KEY, sample_key(F.col(seq), seed))
     if (cut := _cut(df.select(sample_key(F.col(seq), seed).alias(SAMPLE_KEY)), k)) is None:
         return keyed
-    prefix, wanted = cut
-    start = F.substring(SAMPLE_KEY, 1, len(prefix))
-    return keyed.where(start < prefix).unionByName(keyed.where(start == prefix).orderBy(SAMPLE_KEY, seq).limit(wanted))
+    return keyed.where(F.substring(SAMPLE_KEY, 1, len(cut)) <= cut).orderBy(SAMPLE_KEY, seq).limit(k)
 
 
-def _cut(keys: DataFrame, k: int) -> tuple[str, int] | None:
-    """First digits of the k-th key, and how many keys that begin with them are wanted; None if there are at most k keys."""
+def _cut(keys: DataFrame, k: int) -> str | None:
+    """First digits of the k-th key; None if there are fewer keys."""
     prefix = ""
     for level in range(2):
         digits = F.substring(SAMPLE_KEY, 1 + level * _DIGITS, _DIGITS)
@@ -58,7 +56,7 @@ def _cut(keys: DataFrame, k: int) -> tuple[str, int] | None:
         prefix, k = prefix + found["digits"], k - (found["upto"] - found["n"])
         if found["n"] <= _SORTED:
             break
-    return prefix, k
+    return prefix
 
 
 def sampled_features(rows: DataFrame, k: int = SAMPLE_CAP, seed: int = SEED,
