@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pacewise.functions.predicates import all_of, compare, flag
 from pacewise.operators.ordering import by_score, by_text, every_nth, with_ordinal
 from pacewise.plans.registry import ORDER_TXN, TXN, event_rows, order_rows, query, table
-from pacewise.schema import numeric, publish, text_or_empty
+from pacewise.schema import DAY_SECONDS, numeric, publish, step_of, text_or_empty
 from pacewise.session import shared_dir
 from pacewise.sources import arrow_stream
 from pacewise.sources.landing import live_transactions, paced, read_paysim
@@ -73,23 +73,30 @@ def live_intake(spark: SparkSession, sf: str) -> DataFrame:
     return taken.groupBy("account").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last_seq"))
 
 
+FILE_ROWS = 500_000  # of a CSV file, on average
+
+
 @query("paysim_csv_rows", """SELECT o_custkey AS account,
   CAST(epoch_us(o_orderdate) // 86400000000 AS INTEGER) AS step, o_totalprice AS amount,
   CAST(o_orderstatus = 'F' AS TINYINT) AS isFraud, row_number() OVER (ORDER BY o_orderkey) - 1 AS seq FROM orders""")
 def paysim_csv_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Orders written in the layout of the PaySim CSV, as files of uneven size, and read back in order."""
     path = shared_dir(spark, "paysim")
-    zero = F.lit(0.0)
-    (order_rows(spark, sf).join(table(spark, sf, "orders"), F.col("seq") == F.col("o_orderkey"))
-     .withColumn("file", F.when(F.col("seq") < 100, 0).otherwise(1))
-     .repartitionByRange(2, "file").sortWithinPartitions("file", "seq")
-     .select("step", F.lit("PAYMENT").alias("type"), "amount",
-             F.concat(F.lit("C"), "account").alias("nameOrig"), zero.alias("oldbalanceOrg"),
-             zero.alias("newbalanceOrig"), F.lit("M1").alias("nameDest"), zero.alias("oldbalanceDest"),
-             zero.alias("newbalanceDest"), (F.col("o_orderstatus") == "F").cast("int").alias("isFraud"),
-             F.lit(0).alias("isFlaggedFraud"))
-     .write.csv(path, header=True))
-    return read_paysim(spark, path).select("account", "step", "amount", "isFraud", "seq")
+    zero, key = F.lit(0.0), F.asc_nulls_last("o_orderkey")
+    orders = table(spark, sf, "orders")
+    few = F.coalesce(F.col("o_orderkey") < 100, F.lit(False))
+    files = -(-orders.count() // FILE_ROWS)
+    # the few first rows in one folder, the rest in the next, as ranges that one task sorts each
+    for folder, rows, parts in (("0", orders.where(few), 1), ("1", orders.where(~few), max(1, files))):
+        (rows.repartitionByRange(parts, key).sortWithinPartitions(key)
+         .select(step_of(F.col("o_orderdate"), DAY_SECONDS).alias("step"), F.lit("PAYMENT").alias("type"),
+                 F.col("o_totalprice").cast("double").alias("amount"),
+                 F.concat(F.lit("C"), F.col("o_custkey").cast("long")).alias("nameOrig"), zero.alias("oldbalanceOrg"),
+                 zero.alias("newbalanceOrig"), F.lit("M1").alias("nameDest"), zero.alias("oldbalanceDest"),
+                 zero.alias("newbalanceDest"), (F.col("o_orderstatus") == "F").cast("int").alias("isFraud"),
+                 F.lit(0).alias("isFlaggedFraud"))
+         .write.csv(f"{path}/{folder}", header=True))
+    return read_paysim(spark, f"{path}/*").select("account", "step", "amount", "isFraud", "seq")
 
 
 # --- comparisons ----------------------------------------------------------------

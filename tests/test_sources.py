@@ -237,6 +237,19 @@ def test_paysim_order_over_files_of_uneven_size(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", width)
 
 
+def test_paysim_files_are_bounded_and_in_order(spark, sf_dir, tmp_path, monkeypatch):
+    from pacewise.plans import tables
+
+    monkeypatch.setattr(tables, "FILE_ROWS", 200, raising=False)
+    monkeypatch.setattr(tables, "shared_dir", lambda spark, purpose: str(tmp_path / purpose))
+    got = tables.paysim_csv_rows(spark, sf_dir)
+    total = got.count()
+    files = spark.read.option("recursiveFileLookup", "true").csv(str(tmp_path / "paysim"), header=True)
+    assert files.groupBy("_metadata.file_path").count().agg({"count": "max"}).first()[0] < total // 3
+    want = [r[0] for r in spark.read.parquet(f"{sf_dir}/orders.parquet").orderBy("o_orderkey").select("o_custkey").collect()]
+    assert [r.account for r in got.orderBy("seq").collect()] == want
+
+
 # --- index of record batches -------------------------------------------------------
 
 from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThanOrEqual  # noqa: E402
