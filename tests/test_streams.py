@@ -121,6 +121,24 @@ def test_keyed_state_feeds_the_scorer(spark, rows, thirds, tmp_path):
         keyed_features(rows.withColumn("w_n", F.lit(1)))
 
 
+def test_keyed_state_by_bucket(spark, tmp_path):
+    """Calls and held state do not grow with the accounts; buckets mix accounts that go on, come new, idle and have no number."""
+    items = [(i, i % 300, 10 + i // 100 + (40 if i > 900 and i % 300 < 100 else 0), float(i % 13)) for i in range(1200)]
+    rows = made(spark, items).withColumn("account", F.expr("nullif(account, 7)"))
+    parts = [rows.where("seq < 500"), rows.where("seq between 500 and 900"), rows.where("seq > 900")]
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = keyed_features(spark.readStream.schema(part.schema).parquet(f"{tmp_path}/in"), buckets=5, lateness=100)
+        query = (stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True)
+                 .start(f"{tmp_path}/out"))
+        query.awaitTermination()
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 6
+    found = spark.read.parquet(f"{tmp_path}/out")
+    # those without a number are one account
+    table = features(rows.withColumn("account", F.coalesce("account", F.lit(-5)))).withColumn("account", F.expr("nullif(account, -5)"))
+    assert same(table.select(*found.columns), found) and found.count() == len(items)
+
+
 def test_range_max():
     import numpy as np
 
