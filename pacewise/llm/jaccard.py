@@ -125,6 +125,8 @@ def _verified(percent: int):
                     a.append(docs[i])
                     b.append(other)
                     break
+        del member
+        give_back()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     return run
 

@@ -99,7 +99,9 @@ def _first_of_equal(key: np.ndarray, size: np.ndarray, content: np.ndarray, doc:
 def ragged(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The bytes of many ranges, one after the other."""
     total = int(size.sum())
-    at = np.repeat(begin - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(total)
+    kind = np.int32 if max(len(data), total) < 1 << 31 else np.int64
+    at = np.repeat((begin - (np.cumsum(size) - size)).astype(kind), size)
+    at += np.arange(total, dtype=kind)
     return data[at]
 
 
@@ -190,9 +192,10 @@ class Levels:
         self.levels.append((keys, docs))
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
             (a, x), (b, y) = self.levels.pop(-2), self.levels.pop()
-            both = np.concatenate((a, b))
+            both, firsts = np.concatenate((a, b)), np.concatenate((x, y))
+            del a, b, x, y
             order = np.argsort(both, kind="stable")  # two sorted runs: one linear merge
-            self.levels.append((both[order], np.concatenate((x, y))[order]))
+            self.levels.append((both[order], firsts[order]))
 
 
 def suffix_array(text: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -256,28 +259,42 @@ def _in_stretch(key, doc, begin, size, text, width: int):
             *_repeats(doc[rest], begin[rest], size[rest], ragged(text, place[rest], size[rest]), width)]
 
 
+def _texts_of(keep: np.ndarray, size: np.ndarray, pieces: list, unpack) -> tuple[np.ndarray, np.ndarray]:
+    """The texts of the segments ``keep``, and where in it each lies; the pieces are unpacked one at a time."""
+    stays = np.zeros(len(size), bool)
+    stays[keep] = True
+    head = sum(np.dtype(kind).itemsize for _, kind in _FIELDS)
+    texts, first = [np.zeros(0, np.uint8)], 0
+    for rows, blob in pieces:
+        own, mine = size[first:first + rows], np.flatnonzero(stays[first:first + rows])
+        if len(mine):
+            raw = np.frombuffer(unpack.decompress(blob.as_py()), np.uint8, offset=rows * head)
+            texts.append(ragged(raw, (np.cumsum(own) - own)[mine], own[mine]))
+        first += rows
+    return np.concatenate(texts), np.r_[0, np.cumsum(np.where(stays, size, 0))[:-1]]
+
+
 def _indexed(width: int, parts: int):
     """Spans found in one bucket of segments; spans of a part only pass."""
     def run(table: pa.Table) -> pa.Table:
         pack, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
         held: dict[str, list] = {name: [] for name, _ in _FIELDS}
-        texts = []
-        for rows, blob in zip(table.column("rows").to_pylist(), table.column("segments")):
+        pieces = list(zip(table.column("rows").to_pylist(), table.column("segments")))
+        for rows, blob in pieces:
             raw, at = unpack.decompress(blob.as_py()), 0
             for name, kind in _FIELDS:
-                end = at + rows * np.dtype(kind).itemsize
-                held[name].append(np.frombuffer(raw[at:end], kind))
-                at = end
-            texts.append(np.frombuffer(raw, np.uint8, offset=at))
-        key, doc, begin, size = (np.concatenate(held[name]) for name, _ in _FIELDS)
-        text, size, begin = np.concatenate(texts), size.astype(np.int64), begin.astype(np.int64)
-        place = np.r_[0, np.cumsum(size)[:-1]]
+                held[name].append(np.frombuffer(raw, kind, rows, at).copy())  # without its text
+                at += rows * np.dtype(kind).itemsize
+        key, doc, begin, size = (np.concatenate(held.pop(name)) for name, _ in _FIELDS)
+        size, begin = size.astype(np.int64), begin.astype(np.int64)
         # a key that only one document has cannot repeat
         order = np.lexsort((doc, key))
         change = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
         last = np.r_[change[1:], len(order)] - 1
         shared = np.repeat(doc[order][change] != doc[order][last], np.diff(np.r_[change, len(order)]))
         keep = order[shared]
+        del raw, order, shared
+        text, place = _texts_of(keep, size, pieces, unpack)
         # equal windows have one key: stretches of keys are searched one after the other
         cuts = np.flatnonzero(np.r_[True, key[keep][1:] != key[keep][:-1], True])
         filled = np.r_[0, np.cumsum(size[keep])]
@@ -289,7 +306,7 @@ def _indexed(width: int, parts: int):
             found += _in_stretch(key[mine], doc[mine], begin[mine], size[mine], ragged(text, place[mine], size[mine]), width)
             at = end
         d, b, e = _merged(*(np.concatenate([x[i] for x in found]) for i in range(3)))
-        del held, texts, text, found
+        del text, found
         give_back()
         return pa.Table.from_batches([_span_batch(d, b, e, parts, pack)])
     return run
@@ -358,7 +375,7 @@ def removal_digests(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` for every row."""
     rows = documents.select("doc_id", "text")
     return (with_spans(rows, repeated_spans(rows, width)).select("doc_id", "text", "__begins", "__ends")
-            .mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+            .mapInArrow(tidy(_digests), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 def kept_text(raw: bytes, begins, ends) -> str:
@@ -398,7 +415,7 @@ def without_repeats(documents: DataFrame, width: int = WIDTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[3:]],
                                              names=["text", *batch.schema.names[3:]]).filter(keep)
 
-    kept = rows.mapInArrow(run, T.StructType(fields))
+    kept = rows.mapInArrow(tidy(run), T.StructType(fields))
     if "n_chars" in columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return kept.select(*columns)

@@ -3,6 +3,9 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from pacewise.llm import suffixes
 from pacewise.llm.suffixes import Levels, kept_text, removal_digests, without_repeats
 
@@ -114,3 +117,33 @@ def test_periodic_texts(docs):
     rows = [(1, texts[0]), (2, texts[1]), (3, "ab" * 9000), (4, "ba" * 9000), (5, texts[0][:5000] + "x" + texts[1])]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in removal_digests(docs(rows)).collect()}
     assert got == expected(rows)
+
+
+def test_texts_of_unshared_segments_are_not_held():
+    """A task of the index holds the text of segments whose key several documents have, and no other."""
+    import tracemalloc
+
+    import zstandard
+
+    rng = np.random.default_rng(8)
+    pack, parts = zstandard.ZstdCompressor(level=1), []
+    for piece in range(16):
+        n = 2048
+        columns = {"key": np.arange(piece * n, (piece + 1) * n).astype(np.uint32), "doc": np.arange(piece * n, (piece + 1) * n),
+                   "begin": np.zeros(n, np.int32), "size": np.full(n, 1000, np.int32)}
+        data = rng.integers(0, 256, n * 1000).astype(np.uint8)
+        if piece == 15:  # one passage of two documents
+            columns["key"][-1] = 0
+            data[-1000:] = passage
+        elif piece == 0:
+            passage = data[:1000].copy()
+        parts.append(suffixes._segment_batch(columns, data, np.arange(n) * 1000, 1, pack))
+    table = pa.Table.from_batches(parts)
+    run = suffixes._indexed(50, 1)
+    tracemalloc.start()
+    found = run(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    spans = np.frombuffer(zstandard.ZstdDecompressor().decompress(found.column("segments")[0].as_py()), np.int64)
+    assert spans.tolist() == [16 * 2048 - 1, 0, 1000]
+    assert peak < 16 << 20  # the texts of all segments have 33 MB
